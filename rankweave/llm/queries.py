@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import oracle
 from rankweave.llm.common import table
 from rankweave.llm.decontaminate import decontaminate
 from rankweave.llm.repetition import repetition
+from rankweave.llm.secret_ledger import BASE, scan_versions
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,23 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(found.gram_chars[i].alias(f"chars_in_repeated_{n}grams") for i, n in enumerate(range(6, 11))), "dup_line_chars")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_versions(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda x: x["kind"].isin(*(r.kind for r in BASE)))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(number(r.kind) for r in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_repetition": op6_repetition,
+    "op7_secrets": op7_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
