@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from rankweave.llm import oracle
 from rankweave.llm.common import table
 from rankweave.llm.decontaminate import decontaminate
+from rankweave.llm.mixing import mix_sources
 from rankweave.llm.repetition import repetition
 from rankweave.llm.secret_ledger import BASE, scan_versions
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -38,6 +43,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_repetition": op6_repetition,
     "op7_secrets": op7_secrets,
