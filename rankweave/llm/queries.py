@@ -13,6 +13,7 @@ from rankweave.llm.decontaminate import decontaminate
 from rankweave.llm.mixing import mix_sources
 from rankweave.llm.repetition import repetition
 from rankweave.llm.secret_ledger import BASE, scan_versions
+from rankweave.llm.warc import round_trip
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(number(r.kind) for r in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
     "op7_secrets": op7_secrets,
 }
