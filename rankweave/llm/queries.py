@@ -11,6 +11,7 @@ from rankweave.llm import oracle
 from rankweave.llm.common import table
 from rankweave.llm.decontaminate import decontaminate
 from rankweave.llm.mixing import mix_sources
+from rankweave.llm.ngram_join import ngram_join
 from rankweave.llm.repetition import repetition
 from rankweave.llm.secret_ledger import BASE, scan_versions
 from rankweave.llm.warc import round_trip
@@ -47,12 +48,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
     "op7_secrets": op7_secrets,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
