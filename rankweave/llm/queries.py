@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import oracle
+from rankweave.llm import language_id, oracle
 from rankweave.llm.common import table
 from rankweave.llm.decontaminate import decontaminate
 from rankweave.llm.mixing import mix_sources
@@ -21,6 +21,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id"))
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.select(F.struct("doc_id", "held_out").alias("id"), "text"), model, "id").select("id.doc_id", "id.held_out", "lang_pred", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -54,6 +60,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
@@ -63,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracle.OP4,
+    "op10_ngram_join": oracle.OP10,
 }
