@@ -12,6 +12,7 @@ from rankweave.llm.common import table
 from rankweave.llm.decontaminate import decontaminate
 from rankweave.llm.mixing import mix_sources
 from rankweave.llm.ngram_join import ngram_join
+from rankweave.llm.pseudonyms import pseudonymise
 from rankweave.llm.repetition import repetition
 from rankweave.llm.secret_ledger import BASE, scan_versions
 from rankweave.llm.warc import round_trip
@@ -27,6 +28,15 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select(F.struct("doc_id", "held_out").alias("id"), "text"), model, "id").select("id.doc_id", "id.held_out", "lang_pred", "score")
 
 
+#: The key of registered queries; a production run brings its own.
+KEY = "rankweave"
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, KEY, found_col="found").select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), F.array_join(F.transform("found", lambda x: x["kind"]), ",").alias("kinds"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -61,6 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
