@@ -28,3 +28,32 @@ r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m.y, doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x) m USING (doc_id)
 """
+
+
+def _op8() -> str:
+    """The licence rules as one step of SQL each."""
+    from rankweave.llm.licenses import CUES, RULES, SENTENCES, STARTS, UNKNOWN
+
+    known = ", ".join(f"('{s}', '{i}')" for i, texts in SENTENCES.items() for s in texts)
+    starts = " ".join(f"WHEN starts_with(s, '{start}') THEN '{i}'" for i, all_ in STARTS.items() for start in reversed(all_))
+    steps, last = [], "ids"
+    for k, (name, run) in enumerate(RULES):
+        text = "".join(f"<{i}>" for i in run)
+        steps.append(f"r{k} AS (SELECT k, replace(rest, '{text}', '|') AS rest, list_concat(names, list_transform(generate_series(1, CAST((length(rest) - length(replace(rest, '{text}', '|'))) / {len(text) - 1} AS BIGINT)), lambda i: '{name}')) AS names FROM {last})")
+        last = f"r{k}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT k, string_split_regex(regexp_replace(text, '([^.;:!?\n])\n([a-z(])', '\1 \2', 'g'), '[.;:!?]+([\x20\t\r\n]+|$)|\n+') AS parts FROM d WHERE regexp_matches(text, '(?i){CUES}')),
+s AS (SELECT k, i, trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT k, parts, unnest(generate_series(1, len(parts))) AS i FROM cut)),
+known(s, id) AS (VALUES {known}),
+told AS (SELECT k, i, coalesce(known.id, CASE {starts} WHEN regexp_matches(s, '\blicen[sc]e') THEN '{UNKNOWN}' END) AS id FROM s LEFT JOIN known USING (s) WHERE regexp_matches(s, '{CUES}')),
+ids AS (SELECT k, string_agg('<' || id || '>', '' ORDER BY i) AS rest, CAST([] AS VARCHAR[]) AS names FROM told WHERE id IS NOT NULL GROUP BY k),
+{', '.join(steps)}
+SELECT doc_id, CAST(coalesce(len(names), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(names, ','), '') AS licenses,
+    coalesce((SELECT string_agg(id, ',' ORDER BY i) FROM told WHERE told.k = d.k AND id IS NOT NULL), '') AS sentence_ids,
+    CAST(coalesce((SELECT count(*) FROM told WHERE told.k = d.k AND id = '{UNKNOWN}'), 0) AS BIGINT) AS n_unknown
+FROM d LEFT JOIN {last} USING (k)
+"""
+
+
+OP8 = _op8()

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from rankweave.llm import language_id, oracle
 from rankweave.llm.common import table
 from rankweave.llm.decontaminate import decontaminate
+from rankweave.llm.licenses import scan_licenses
 from rankweave.llm.mixing import mix_sources
 from rankweave.llm.ngram_join import ngram_join
 from rankweave.llm.pseudonyms import pseudonymise
 from rankweave.llm.repetition import repetition
 from rankweave.llm.secret_ledger import BASE, scan_versions
+from rankweave.llm.url_rules import ListedRule, filter_urls
 from rankweave.llm.warc import round_trip
 
 
@@ -64,6 +66,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"), "n_unknown")
+
+
+#: The listed rules of the query.
+LISTED = [ListedRule("allow", "com", "/"), ListedRule("block", "example.com", "/en/"), ListedRule("allow", "www.example.com", "/en/"), ListedRule("block", "net", "/es/"), ListedRule("block", "net", "/fr/")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), LISTED).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -76,10 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
     "op7_secrets": op7_secrets,
+    "op8_licenses": op8_licenses,
+    "op9_urls": op9_urls,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracle.OP4,
+    "op8_licenses": oracle.OP8,
     "op10_ngram_join": oracle.OP10,
 }
