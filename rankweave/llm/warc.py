@@ -3,8 +3,9 @@
 Reading (format "warc"): the plan lists the files under the path and packs small ones together; a file is one partition at least, as records
 can only be found in order. Headers are parsed first. Equality and IN filters on record_type and on the header
 columns (target_uri, record_id, payload_digest, refers_to) are pushed down: the payload of a record that they refuse is skipped,
-by seeking where the file isn't compressed, and never decoded. Columns are those of the schema given to the reader; one without
-payload reads no payload.
+by seeking, and never decoded or inflated. Columns are those of the schema given to the reader; one without payload reads no payload.
+Compressed archives (.warc.gz) have a gzip member a record; members with the skip lengths of the standard's "sl" field are skipped
+by seeking too, others have to be inflated.
 
 Writing: each task writes one archive after another of about roll_bytes under a temporary name; the commit gives the archives
 their names, so a task that is run again leaves no half archive behind. Paths may be of any store that pyarrow.fs knows.
@@ -16,11 +17,12 @@ Content-Length ends its file with an error; an empty table gives no archive; an
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
+import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from rankweave.llm.common import bounded_batches, scratch
+from rankweave.llm.common import bounded_batches, scratch, ship
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, content_type string, content_length long, payload binary"
 #: The header line of each pushed column.
@@ -60,6 +62,94 @@ class Files(InputPartition):
     paths: list[str] = field(default_factory=list)
 
 
+def packed(data: bytes) -> bytes:
+    """A record as a gzip member that says how long it is."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    return struct.pack("<4BIBBH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, len(body) + 32, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Names in lower case; nothing if this is no record."""
+    if not lines or not lines[0].startswith(b"WARC/"):
+        return {}
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+
+
+def _plain(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """Headers of each record, and how to read its block if it is wanted."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        lines = [line]
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            lines.append(line)
+        head = _headers(lines)
+        start, length = stream.tell(), int(head.get("content-length", 0))
+        yield head, lambda: stream.read(length)
+        stream.seek(start + length)
+
+
+def _packed(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """The same for a gzip member a record: inflated up to the end of the headers, and further only if need be."""
+    while True:
+        start = stream.tell()
+        fixed = stream.read(10)
+        if not fixed:
+            return
+        if fixed[:3] != b"\x1f\x8b\x08":
+            yield {}, bytes
+            return
+        member, flags = 0, fixed[3]
+        if flags & 4:
+            extra = stream.read(struct.unpack("<H", stream.read(2))[0])
+            while len(extra) >= 4:
+                n = struct.unpack("<H", extra[2:4])[0]
+                if extra[:2] == b"sl" and n >= 4:
+                    member = struct.unpack("<I", extra[4:8])[0]
+                extra = extra[4 + n :]
+        for flag in (8, 16):  # a name, a comment
+            if flags & flag:
+                while stream.read(1) not in (b"\0", b""):
+                    pass
+        if flags & 2:
+            stream.read(2)
+        inflate = zlib.decompressobj(-15)
+        seen, begun = bytearray(), stream.tell()
+
+        def more(size: int = 1 << 14, inflate=inflate, seen=seen) -> bool:
+            data = inflate.unconsumed_tail or stream.read(size)
+            seen.extend(inflate.decompress(data, 1 << 16))
+            return bool(data) and not inflate.eof
+
+        while b"\r\n\r\n" not in seen and more(2048):
+            pass
+        end = seen.find(b"\r\n\r\n")
+        head = _headers(bytes(seen[: max(end, 0)]).split(b"\r\n"))
+        need = end + 4 + int(head.get("content-length", 0))
+
+        def block(seen=seen, need=need, end=end, more=more) -> bytes:
+            while len(seen) < need and more():
+                pass
+            return bytes(seen[end + 4 : need])
+
+        yield head, block
+        if member:
+            stream.seek(start + member)
+        else:
+            stream.seek(begun)
+            inflate = zlib.decompressobj(-15)
+            while not inflate.eof and (data := stream.read(1 << 16)):
+                while data and not inflate.eof:
+                    inflate.decompress(data, 1 << 20)
+                    data = inflate.unconsumed_tail
+            stream.seek(-len(inflate.unused_data) + 8, io.SEEK_CUR)
+
+
 class WarcSource(DataSource):
     """spark.read.format("warc").load(path); df.write.format("warc").save(path) of record_type, record_id, target_uri, date, refers_to, payload."""
 
@@ -74,7 +164,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], [f.name for f in schema.fields], int(self.options.get("pack_bytes", 32 << 20)))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 64 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 64 << 20)), self.options.get("compression", "none") == "gzip")
 
 
 class WarcReader(DataSourceReader):
@@ -125,45 +215,22 @@ class WarcReader(DataSourceReader):
 
     def records(self, path: str) -> Iterator[dict]:
         store, at = pafs.FileSystem.from_uri(path)
-        packed = path.endswith(".gz")
-        with store.open_input_stream(at, compression=None) if packed else store.open_input_file(at) as raw:
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if packed else io.BufferedReader(raw, 1 << 20)
-            while True:
-                line = stream.readline()
-                while line in (b"\r\n", b"\n"):
-                    line = stream.readline()
-                if not line:
-                    return
-                if not line.startswith(b"WARC/"):
+        with store.open_input_file(at) as raw:
+            stream = io.BufferedReader(raw, 1 << 20)
+            for head, block in _packed(stream) if path.endswith(".gz") else _plain(stream):
+                if not head:
                     raise ValueError(f"{path}: no record where one is due")
-                head: dict[str, str] = {}
-                while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-                    name, colon, value = line.decode("utf-8", "replace").partition(":")
-                    if colon:
-                        head[name.strip().lower()] = value.strip()
                 length = int(head["content-length"])
-                row = {c: head.get(HEADERS[c]) for c in self.columns if c in HEADERS}
-                every = {c: self.bare(c, head.get(HEADERS[c])) for c in {*row, *self.wanted} if c in HEADERS}
-                refused = any(every[c] not in values for c, values in self.wanted.items())
-                if refused or "payload" not in self.columns:
-                    if packed:
-                        left = length
-                        while left and (n := len(stream.read(min(left, 1 << 20)))):
-                            left -= n
-                    else:
-                        stream.seek(length, io.SEEK_CUR)
-                    payload = None
-                else:
-                    payload = stream.read(length)
-                if refused:
+                every = {c: self.bare(c, head.get(HEADERS[c])) for c in {*self.columns, *self.wanted} if c in HEADERS}
+                if any(every[c] not in values for c, values in self.wanted.items()):
                     continue
-                row = {c: every[c] for c in row}
+                row = {c: every[c] for c in self.columns if c in every}
                 if "payload_bytes" in row:
                     row["payload_bytes"] = int(row["payload_bytes"] or length)
                 if "content_length" in self.columns:
                     row["content_length"] = length
                 if "payload" in self.columns:
-                    row["payload"] = payload
+                    row["payload"] = block()
                 yield row
 
     @staticmethod
@@ -179,8 +246,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, roll_bytes: int):
-        self.path, self.roll_bytes = path.rstrip("/"), roll_bytes
+    def __init__(self, path: str, roll_bytes: int, gzip: bool):
+        self.path, self.roll_bytes, self.gzip = path.rstrip("/"), roll_bytes, gzip
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = pafs.FileSystem.from_uri(self.path)
@@ -196,9 +263,9 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     name = uuid.uuid4().hex
-                    archives.append((f"{root}/.{name}.part", f"{root}/{name}.warc"))
+                    archives.append((f"{root}/.{name}.part", f"{root}/{name}.warc{'.gz' if self.gzip else ''}"))
                     out, size = store.open_output_stream(archives[-1][0]), 0
-                data = record(kind, record_id, "".join((uri or "").split()), date, payload, refers_to)
+                data = (packed if self.gzip else bytes)(record(kind, record_id, "".join((uri or "").split()), date, payload, refers_to))
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -217,11 +284,12 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
-def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> None:
+def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, compression: str = "gzip") -> None:
     """Writes a record a row. Of equal payloads of at least least_bytes, the largest id's is the response and the others revisit it.
 
     Rows that repeat an id and its payload are all responses; a null id counts as the least. Record ids are urn:page: and the id (empty for null).
@@ -235,7 +303,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     joined = rows.join(first.hint("shuffle_hash"), "digest", "left")
     own = ~F.col("long") | F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    joined.select(F.when(own, "response").otherwise("revisit").alias("record_type"), name("id").alias("record_id"), "target_uri", F.lit(date).alias("date"), F.when(~own, name("first")).alias("refers_to"), "payload").write.format("warc").mode("append").save(path)
+    joined.select(F.when(own, "response").otherwise("revisit").alias("record_type"), name("id").alias("record_id"), "target_uri", F.lit(date).alias("date"), F.when(~own, name("first")).alias("refers_to"), "payload").write.format("warc").option("compression", compression).mode("append").save(path)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", **columns: str) -> DataFrame:
