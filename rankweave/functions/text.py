@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,11 +107,14 @@ def stem_english(word: str) -> str:
     return word[:-1] if word.endswith("e") and _measure(word[:-1]) > 1 else word
 
 
-@F.pandas_udf("array<string>")
-def english_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def english_terms(text: Column) -> Column:
     """Stemmed English terms without stop words, in order; Arrow batches, as stemming isn't a Spark function."""
-    import re
+    stop, word = frozenset(STOP_WORDS), r"[^\W_]+"
 
-    stop, word, known = set(STOP_WORDS), re.compile(r"[^\W_]+"), {}
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else [known.setdefault(w, stem_english(w)) for w in word.findall(t.lower()) if w not in stop])
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find, known = re.compile(word).findall, {}
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else [known.setdefault(w, stem_english(w)) for w in find(t.lower()) if w not in stop])
+
+    return run(text)

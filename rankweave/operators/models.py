@@ -117,28 +117,48 @@ def random_items(clicks: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return clicks.select("item").distinct().orderBy(F.xxhash64(F.lit(seed), "item"), "item").limit(n)
 
 
+def _gradients(label: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """LambdaMART's gradients and weights of one ranking."""
+    place = np.empty(len(label), int)
+    place[np.argsort(-score, kind="stable")] = np.arange(len(label))
+    discount = np.where(place < k, 1 / np.log2(place + 2), 0.0)
+    gain = 2.0**label - 1
+    ideal = (np.sort(gain)[::-1][:k] / np.log2(np.arange(min(k, len(gain))) + 2)).sum() or 1.0
+    delta = np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal
+    p = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -35, 35)))
+    better = label[:, None] > label[None, :]
+    push, curve = np.where(better, p * delta, 0.0), np.where(better, p * (1 - p) * delta, 0.0)
+    return push.sum(axis=1) - push.sum(axis=0), curve.sum(axis=1) + curve.sum(axis=0)
+
+
 def pair_gradients(rows: DataFrame, k: int = 10) -> DataFrame:
-    """LambdaMART's gradients at the present scores: rows (ranking, label, score, ...) with target (lambda) and weight, ranking by ranking.
+    """rows (ranking, label, score, ...) with target (lambda) and weight at the present scores, ranking by ranking.
 
-    A ranking is a bounded list, so its pairs are made within one array in one task.
+    A ranking is a bounded list: its pairs are made in one task. Rows stream through tasks in order of ranking, so no task holds more than a batch and a ranking.
     """
-    schema = rows.drop("target", "weight").schema.add("target", "double").add("weight", "double")
+    names = [c for c in rows.columns if c not in ("target", "weight")]
+    schema = rows.select(*names).schema.add("target", "double").add("weight", "double")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
         label, score = pdf["label"].to_numpy(float), pdf["score"].to_numpy(float)
-        place = np.empty(len(pdf), int)
-        place[np.argsort(-score, kind="stable")] = np.arange(len(pdf))
-        discount = np.where(place < k, 1 / np.log2(place + 2), 0.0)
-        gain = 2.0**label - 1
-        ideal = (np.sort(gain)[::-1][:k] / np.log2(np.arange(min(k, len(gain))) + 2)).sum() or 1.0
-        better = label[:, None] > label[None, :]
-        delta = np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal
-        p = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -35, 35)))
-        push, curve = np.where(better, p * delta, 0.0), np.where(better, p * (1 - p) * delta, 0.0)
-        out = pdf.drop(columns=[c for c in ("target", "weight") if c in pdf])
-        return out.assign(target=push.sum(axis=1) - push.sum(axis=0), weight=curve.sum(axis=1) + curve.sum(axis=0))
-
-    return rows.groupBy("ranking").applyInPandas(one, schema)
+        starts = np.flatnonzero(np.append(True, (pdf["ranking"].to_numpy()[1:] != pdf["ranking"].to_numpy()[:-1])))
+        target, weight = np.zeros(len(pdf)), np.zeros(len(pdf))
+        for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            target[a:b], weight[a:b] = _gradients(label[a:b], score[a:b], k)
+        return pdf.assign(target=target, weight=weight)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = pdf["ranking"] == pdf["ranking"].iloc[-1] if len(pdf) else pdf.index < 0
+            rest = pdf[last]
+            if not last.all():
+                yield done(pdf[~last].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield done(rest.reset_index(drop=True))
+
+    return rows.select(*names).repartition("ranking").sortWithinPartitions("ranking").mapInPandas(run, schema)
 
 
 class LambdaMART:
