@@ -22,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import bounded_batches, estimated_bytes, release_shuffles, slices, stored
+from rankweave.llm.common import bounded_batches, drop_path, estimated_bytes, release_shuffles, slices, stored, stored_at
 from rankweave.llm.components import components
 from rankweave.llm.signatures import SIMILARITY, SKETCH, class_id, linked, shingle_sets, signatures, sketch
 
 #: Signatures of a bucket, about; and how many a byte of text has.
-BUCKET, RATE = 2_000_000, 0.1
+BUCKET, RATE = 500_000, 0.1
 #: Rows of keys up to which the verification broadcasts them (16 bytes each); beyond, it joins by shuffling.
 BROADCAST_ROWS = 1_000_000
 
 
-def _index(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """id, row_key, class, size, sketch: a row a document; and chunks of signatures, with a bucket: bucket, signatures, owners, classes."""
+def _index(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> tuple[DataFrame, str]:
+    """A table and its path: id, row_key, class, size, sketch: a row a document; and chunks of signatures, with a bucket: bucket, signatures, owners, classes."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "row_key", "class", "size", "sketch", "bucket", "signatures", "owners", "classes"]
@@ -67,7 +67,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFra
             yield pa.RecordBatch.from_arrays([empty(k, part.column(0).type), empty(k, pa.int64()), empty(k, pa.int64()), empty(k, pa.int64()), empty(k, pa.binary()), pa.array(found, pa.int32()), *(pa.array([c[i] for c in cut], pa.binary()) for i in range(3))], names)
 
     out = f"id {kind}, row_key long, class long, size long, sketch binary, bucket int, signatures binary, owners binary, classes binary"
-    return stored(rows.mapInArrow(run, out), "signatures")
+    return stored_at(rows.mapInArrow(run, out), "signatures")
 
 
 def _groups(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -167,20 +167,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text")).join(needed, "row_key").select("class", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 3_000_000):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["class", "shingles"])
-
-    made = stored(texts.mapInArrow(sets, "class long, shingles binary"), "sets").dropDuplicates(["class"])
-    full = pairs.join(made.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a").join(made.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b")
+    # Texts, not sets, go through the shuffles: they are a quarter as long. A row repeated in docs makes a repeated link, no more.
+    full = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), ["a", "b"])
+            for part in slices(slices([batch], "left"), "right"):
+                keep = [linked(x, y) for x, y in zip(shingle_sets(part.column(2)), shingle_sets(part.column(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays(list(part.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), ["a", "b"])
 
-    return full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    return full.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long").distinct()
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,11 +184,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     bounded_batches(spark, rows=1000)
     signed = estimated_bytes(docs, text_col) * RATE
-    buckets = max(64, int(signed / BUCKET))
-    index = _index(docs, id_col, text_col, buckets)
-    nodes = index.where(F.col("bucket").isNull()).select("id", "row_key", "class", "size", "sketch")
+    buckets = max(32, int(signed / BUCKET))
+    index, at = _index(docs, id_col, text_col, buckets)
+    nodes = stored(index.where(F.col("bucket").isNull()).select("id", "row_key", "class", "size", "sketch"), "nodes")
     classes = stored(nodes.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct("row_key", "size", "sketch")).alias("x")).select("class", "x.*"), "classes")
     groups = stored(_groups(index.where(F.col("bucket").isNotNull()), buckets), "groups")
+    drop_path(spark, at)
     release_shuffles(spark)
     members = groups.join(classes.select("class", "size", "sketch"), "class")
     first = stored(_surviving(members.withColumn("component", F.lit(None).cast("long")), False), "forest")
