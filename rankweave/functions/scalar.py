@@ -17,8 +17,9 @@ def as_of_age(request_ms: Column, updated_ms: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Parts between runs of whitespace; an empty text is one part, a leading space makes an empty first part, trailing ones none."""
-    return F.when(text == "", F.lit(1)).otherwise(F.size(F.split(text, r"\s+", 0))).cast("double")
+    """Parts between runs of whitespace; an empty text is one part, whitespace alone none; a leading space makes an empty first part, trailing ones none."""
+    parts = F.size(F.split(F.regexp_replace(text, r"\s+$", ""), r"\s+"))
+    return F.when(text == "", F.lit(1)).when(text.rlike(r"^\s+$"), F.lit(0)).otherwise(parts).cast("double")
 
 
 def onehot(values: Column, vocabulary: list[str]) -> Column:
