@@ -33,9 +33,14 @@ def _content() -> Column:
     return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.col("text").isNull().cast("string"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns, so that no name clashes) and key."""
+    return docs.select(F.struct(*docs.columns).alias("row"), _content().alias("key"))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose content is in gone (key)."""
-    return docs.withColumn("_key", _content()).join(gone.select(F.col("key").alias("_key")), "_key", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(gone, "key", "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +53,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = stored(ngram_join(docs.select("doc_id", "text", _content().alias("key")).select(F.struct("doc_id", "key").alias("id"), "text"), "id"), "near")
     twice = joined.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id.key").alias("key"))
     kept = _without(docs, joined.where(F.col("id") != F.col("component_id")).select(F.col("id.key").alias("key")))
-    rows = kept.withColumn("_key", _content())
+    rows = _keyed(kept)
     # Rows that repeat id and text are the same row of the join: of those, and only those, one of each is taken.
-    single = rows.join(twice.select(F.col("key").alias("_key")), "_key", "left_anti")
-    again = rows.join(twice.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
-    return single.unionByName(again).select(*docs.columns)
+    single = rows.join(twice, "key", "left_anti").select("row.*")
+    again = rows.join(twice, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return single.unionByName(again)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

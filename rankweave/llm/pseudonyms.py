@@ -179,12 +179,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple
         new = reduce(lambda rest, k: F.when(x["kind"] == k.name, _MAKERS[k.name](x["value"], key)).otherwise(rest), reversed(kinds), x["value"])
         return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), new.alias("pseudonym"))
 
-    staged = docs.withColumn("_values", F.transform(values, told))
+    # The row goes along as one column, so that none of its names can clash with those here.
+    staged = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), F.transform(values, told).alias("_values"))
     staged = staged.withColumn("_made", F.transform("_values", made))
-    pieces = F.split(text, every, -1)
+    pieces = F.split("_text", every, -1)
     joined = F.array_join(F.zip_with(pieces, "_made", lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
-    out = staged.withColumn("_text", F.when(F.size("_made") > 0, joined).otherwise(text))
-    if found_col:
-        out = out.withColumn(found_col, F.filter("_made", lambda m: m["value"] != m["pseudonym"]))
-    names = [*docs.columns, *([found_col] if found_col and found_col not in docs.columns else [])]
-    return out.withColumn(text_col, F.col("_text")).select(*names)
+    new = F.when(F.size("_made") > 0, joined).otherwise(F.col("_text"))
+    columns = [new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c != found_col]
+    return staged.select(*columns, *([F.filter("_made", lambda m: m["value"] != m["pseudonym"]).alias(found_col)] if found_col else []))

@@ -4,7 +4,8 @@ Every historical version of every path is addressed by the SHA-256 of its conten
 this rule version are read again and scanned, once each however many paths and versions carry them; their findings (none, too)
 are appended to the ledger, and the ledger's findings are joined back to all paths by digest.
 
-Defined results: a null text is an empty blob; repeated rows come back as often as they came; null path columns stay null.
+Defined results: a null text is an empty blob; repeated rows (of path and text) come back as often as they came, and their blob may be
+scanned as often, but counts once; null path columns stay null.
 Spans are in code points, end exclusive, by start and then by the order of the rules; matches of one rule don't overlap.
 """
 
@@ -72,7 +73,7 @@ def scanner(rules: tuple[Rule, ...]) -> Callable[[str], list[tuple[str, int, int
 def _ledger(spark, path: str, rule_version: str) -> DataFrame:
     """digest, spans of the ledger's blobs for a rule version; a blob that two runs appended counts once."""
     try:
-        found = spark.read.parquet(path).where(F.col("rule_version") == rule_version)
+        found = spark.read.schema(f"digest binary, spans {SPANS}, rule_version string").parquet(path).where(F.col("rule_version") == rule_version)
     except AnalysisException:  # no run has written it yet
         found = spark.createDataFrame([], f"digest binary, spans {SPANS}")
     return found.select("digest", "spans").dropDuplicates(["digest"])
