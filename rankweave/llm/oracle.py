@@ -57,3 +57,33 @@ FROM d LEFT JOIN {last} USING (k)
 
 
 OP8 = _op8()
+
+
+def _op6() -> str:
+    from rankweave.llm.repetition import Limits
+
+    limits = Limits()
+    sizes = [n for n, _ in limits.gram_pct]
+    word = r"[^\x20\x09-\x0D]+"
+    chars = ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN chars END), 0) AS c{n}" for n in sizes)
+    within = " AND ".join(f"100 * coalesce(c{n}, 0) <= {pct} * total" for n, pct in limits.gram_pct)
+    return rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, text, regexp_extract_all(text, '{word}') AS ws FROM d),
+l AS (SELECT k, line, row_number() OVER (PARTITION BY k, line ORDER BY i) AS nth FROM (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '{word}')),
+lines AS (SELECT k, count(*) AS n_dup, sum(list_sum(list_transform(regexp_extract_all(line, '{word}'), lambda x: length(x)))) AS dup_chars FROM l WHERE nth > 1 GROUP BY k),
+g AS (SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT k, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM w, (SELECT unnest({[5, *sizes]}) AS n) WHERE len(ws) >= n)),
+h AS (SELECT k, n, i FROM (SELECT k, n, i, count(*) OVER (PARTITION BY k, n, g) AS c FROM g) WHERE c > 1),
+p AS (SELECT DISTINCT k, n, unnest(generate_series(i, i + n - 1)) AS p FROM h),
+r AS (SELECT k, n, count(*) AS words, sum(length(ws[p])) AS chars FROM p JOIN w USING (k) GROUP BY k, n),
+c AS (SELECT k, coalesce(max(CASE WHEN n = 5 THEN words END), 0) AS repeated, {chars} FROM r GROUP BY k),
+t AS (SELECT k, doc_id, CAST(len(ws) AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS total, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS symbols FROM w),
+f AS (SELECT *, n < {limits.min_words} OR 100 * coalesce(repeated, 0) > {limits.repeat_words_pct} * n AS failed FROM t LEFT JOIN c USING (k) LEFT JOIN lines USING (k))
+SELECT doc_id, n AS n_words, total AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words, failed AS base_failed,
+    NOT failed AND {within} AND 100 * coalesce(dup_chars, 0) <= {limits.line_pct} * total AS kept,
+    {', '.join(f'CAST(coalesce(c{n}, 0) AS BIGINT) AS chars_in_repeated_{n}grams' for n in sizes)}, CAST(coalesce(dup_chars, 0) AS BIGINT) AS dup_line_chars
+FROM f
+"""
+
+
+OP6 = _op6()

@@ -98,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracle.OP4,
+    "op6_repetition": oracle.OP6,
     "op8_licenses": oracle.OP8,
     "op10_ngram_join": oracle.OP10,
 }
