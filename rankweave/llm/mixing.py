@@ -111,13 +111,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rated = rated.withColumn("whole", F.floor("rate")).withColumn("part", F.floor((F.col("rate") - F.floor("rate")) * MICRO)).withColumn("slots", F.ceil(F.col("n") / SLOT).cast("int"))
     rated = stored(rated, "rates")
     keyed = sized.withColumn("key", key)
-    placed = keyed.join(rated.select("key", "size", "slots"), ["key", "size"]).withColumn("cell", F.pmod(F.col("slot"), F.col("slots")).cast("int"))
+    placed = keyed.join(rated.select("key", "size", "slots").hint("merge"), ["key", "size"]).withColumn("cell", F.pmod(F.col("slot"), F.col("slots")).cast("int"))
     counts = placed.groupBy("key", "size", "cell").agg(F.count("*").alias("held"))
     order = Window.partitionBy("key").orderBy("size", "cell")
     upto = F.sum(F.col("held") * F.col("part")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + MICRO // 2
-    extras = counts.join(rated, ["key", "size"]).withColumn("upto", upto).select("key", "size", "cell", "held", "source_size", "target", "rate", "whole", (F.floor(F.col("upto") / MICRO) - F.floor((F.col("upto") - F.col("held") * F.col("part")) / MICRO)).alias("extra"))
+    extras = counts.join(rated.hint("merge"), ["key", "size"]).withColumn("upto", upto).select("key", "size", "cell", "held", "source_size", "target", "rate", "whole", (F.floor(F.col("upto") / MICRO) - F.floor((F.col("upto") - F.col("held") * F.col("part")) / MICRO)).alias("extra"))
     extras = corrected(stored(extras, "extras"), cap)
     rank = F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("slot", "id"))
-    taken = placed.withColumn("rank", rank).join(extras.drop("held"), ["key", "size", "cell"])
+    taken = placed.withColumn("rank", rank).join(extras.drop("held").hint("merge"), ["key", "size", "cell"])
     copies = (F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).cast("long")
     return taken.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
