@@ -4,10 +4,10 @@
    and parity sketch, and the classes' signatures in chunks, dealt to buckets by signature.
 2. In a bucket, classes that share a signature are a candidate group; equal groups count once.
 3. In a group, sizes and sketches refuse pairs without loss (sketches never differ in more bits than the sets do in elements).
-   What they let pass is a graph; a spanning forest of it goes on first.
-4. Pairs are verified on the sets themselves, made again from the texts of the classes concerned alone.
-5. Where a group's classes aren't all in one component yet, all pairs between its components that the sketches let pass are
-   verified too, and components are made anew. So no link between components is lost, and copies aren't expanded into pairs.
+4. Pairs that pass are verified on the sets themselves, made again from the texts of the classes concerned alone, in three steps: each
+   class with the least class that it was found with; then pairs that would join what is still apart within a group; then all
+   pairs left whose classes are in different components. After each, components are made anew. So no link between components is lost, and
+   copies aren't expanded into pairs.
 
 Defined results: null and empty texts have an empty set, linked with nothing; a text of fewer than five words is one shingle;
 repeated rows are one class; a null id counts as the largest in its component.
@@ -106,10 +106,10 @@ def _groups(chunks: DataFrame, buckets: int) -> DataFrame:
     return found.distinct()
 
 
-def _surviving(members: DataFrame, known: bool) -> DataFrame:
-    """a < b: pairs within groups that sizes and sketches let pass. members: group, class, size, sketch, component.
+def _surviving(members: DataFrame, every: bool) -> DataFrame:
+    """a < b: pairs of different components, within groups, that sizes and sketches let pass. members: group, class, size, sketch, component.
 
-    known False: a spanning forest of each group's graph; True: all pairs between different components.
+    every False: of each group's pairs only so many that they would join what they can, no pair between classes that those before it join.
     """
 
     def pairs(ids: list[int], sizes: np.ndarray, sketches: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -124,7 +124,7 @@ def _surviving(members: DataFrame, known: bool) -> DataFrame:
                 apart = np.bitwise_count(sketches[close] ^ sketches[i]).sum(axis=1)
                 close = close[apart * 9 <= sizes[close] + sizes[i]]
             for j in close.tolist():
-                if known:
+                if every:
                     yield ids[i], ids[j]
                 elif comp[i] != comp[j]:
                     yield ids[i], ids[j]
@@ -137,7 +137,7 @@ def _surviving(members: DataFrame, known: bool) -> DataFrame:
         def finish() -> list[tuple[int, int]]:
             if len(rows) < 2:
                 return []
-            comp = np.array([r[3] for r in rows], np.int64) if known else np.arange(len(rows))
+            comp = np.array([r[3] for r in rows], np.int64)
             return list(pairs([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), SKETCH // 64), comp))
 
         group = None
@@ -192,17 +192,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     drop_path(spark, at)
     release_shuffles(spark)
     members = groups.join(classes.select("class", "size", "sketch"), "class")
-    first = stored(_surviving(members.withColumn("component", F.lit(None).cast("long")), False), "forest")
-    links = stored(_verified(first, docs, classes, id_col, text_col), "links")
-    found = stored(components(links), "components")
-    release_shuffles(spark)
-    # Groups that still span components: their members with what is known of them.
-    at = groups.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    at = stored(at, "placed")
-    apart = at.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
-    rest = _surviving(at.join(apart, "group").join(classes.select("class", "size", "sketch"), "class"), True).join(first, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(rest, "rest"), docs, classes, id_col, text_col), "links")
-    found = stored(components(links.unionByName(more)), "components")
+    links = tried = found = None
+    for step in ("nearest", "spanning", "all"):
+        now = members.withColumn("component", F.col("class"))
+        if found is not None:
+            # Groups that still span components: their members with what is known of them.
+            at = groups.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+            at = stored(at, "placed")
+            apart = at.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
+            now = at.join(apart, "group").join(classes.select("class", "size", "sketch"), "class")
+        pairs = _surviving(now, every=step == "all")
+        if step == "nearest":
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = stored(_verified(pairs, docs, classes, id_col, text_col), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if found is None or not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            found = stored(components(links), "components")
+        release_shuffles(spark)
     least = nodes.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("least")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("class").alias("_class"), "component_id")
     placed = nodes.join(named, F.col("class") == F.col("_class"), "left")
