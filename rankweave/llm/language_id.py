@@ -82,18 +82,19 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / max(counts.sum(), 1)).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent. y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    norms = (x * x).sum(axis=1) + 0.5 / cost
-    alpha, w, rng = np.zeros(len(x)), np.zeros(x.shape[1], np.float32), np.random.default_rng(seed)
+def svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss on some rows of x, by dual coordinate descent; x isn't copied. y is 1 or -1."""
+    rows = np.arange(len(x)) if rows is None else rows
+    norms = np.einsum("ij,ij->i", x, x) + 1 + 0.5 / cost
+    alpha, w, bias, rng = np.zeros(len(x)), np.zeros(x.shape[1], np.float32), 0.0, np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * float(x[i] @ w) - 1 + 0.5 / cost * alpha[i]) / norms[i], 0.0) - alpha[i]
+        for i in rng.permutation(rows):
+            step = max(alpha[i] - (y[i] * (float(x[i] @ w) + bias) - 1 + 0.5 / cost * alpha[i]) / norms[i], 0.0) - alpha[i]
             if abs(step) > 1e-9:
                 alpha[i] += step
                 w += np.float32(step * y[i]) * x[i]
-    return w
+                bias += step * y[i]
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
@@ -141,8 +142,7 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
     pairs = {}
     for group in members.values():
         for a, b in combinations(group, 2):
-            rows = (own == a) | (own == b)
-            pairs[a, b] = svm(x[rows], np.where(own[rows] == a, 1, -1))
+            pairs[a, b] = svm(x, np.where(own == a, 1, -1), np.flatnonzero((own == a) | (own == b)))
     return LanguageModel(families, members, weights, pairs)
 
 
