@@ -13,12 +13,16 @@ E-mail addresses aren't numbers: their local part and their domain become letter
 The network is unbalanced and alternates two halves of sizes a and b: x = (x + f(y)) mod a, y = (y + f(x)) mod b, f keyed SHA-256 of the round,
 kind and other half. Each step can be undone, so it is a permutation of a * b values for any sizes.
 
+A card or IBAN is looked for at every start and of every length among its neighbours, cards in their usual groups and then the longest valid one first, so that a number or word beside
+it hides nothing. Texts are cut kind by kind: e-mail addresses, IBANs, then addresses, dates and social security numbers, then cards, then phones.
+
 Defined results: a null text stays null, an empty one empty; invalid candidates stay as they are; the order of kinds decides
 where patterns overlap; every row is treated by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,6 +52,16 @@ KINDS = (
     Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[-.\x20]?)?(?:\([0-9]{2,4}\)[-.\x20]?|[0-9]{2,4}[-.\x20])[0-9]{3,4}[-.\x20][0-9]{3,5}" + _NO_DIGIT[1]),
 )
 
+#: Candidates in the order in which they are tried: cards in their usual groups, then those of one exact size, the largest first.
+#: Each pattern is of no width with the candidate as its group, so that candidates may overlap.
+_USUAL = ("[0-9]{13,19}", *(rf"[0-9]{{4}}(?:{s}[0-9]{{4}}){{3}}" for s in (r"\x20", "-")), *(rf"[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{5}}" for s in (r"\x20", "-")))
+SIZED = {
+    "iban": tuple(rf"{_NO_DIGIT[0]}(?=([A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n}}}{rf'\x20?[A-Z0-9]{{{t}}}' if t else ''}){_NO_DIGIT[1]})" for n in range(7, 1, -1) for t in range(3, -1, -1)),
+    "card": tuple(f"{_NO_DIGIT[0]}(?=({c}){_NO_DIGIT[1]})" for c in [*_USUAL, *(rf"[0-9](?:[-\x20]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1))]),
+}
+#: A text in which one of these isn't found has no candidate of any size.
+_ANY = {"iban": _NO_DIGIT[0] + r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2}", "card": _NO_DIGIT[0] + r"[0-9](?:[-\x20]?[0-9]){12}"}
+
 
 def _hashed(key: str, kind: str, step: Column, half: Column) -> Column:
     """52 keyed bits."""
@@ -102,7 +116,12 @@ def _card(v: Column, key: str) -> Column:
     digits = F.regexp_replace(v, "[^0-9]", "")
     body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when((luhn_sum(digits) % 10 == 0) & F.length(digits).between(13, 19), refill(v, F.concat(body, check))).otherwise(v)
+    return F.when(_is_card(v), refill(v, F.concat(body, check))).otherwise(v)
+
+
+def _is_card(v: Column) -> Column:
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    return (luhn_sum(digits) % 10 == 0) & F.length(digits).between(13, 19)
 
 
 def _phone(v: Column, key: str) -> Column:
@@ -121,11 +140,16 @@ def _ssn(v: Column, key: str) -> Column:
 def _iban(v: Column, key: str) -> Column:
     bare = F.regexp_replace(v, " ", "")
     head, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
-    valid = _remainder_97(F.concat(account, F.substring(bare, 1, 4))) == 1
     digits = F.regexp_replace(account, "[^0-9]", "")
     new = refill(account, permuted_digits(digits, key, "iban"))
     check = F.lpad((98 - _remainder_97(F.concat(new, head, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid & (F.length(digits) >= 2), refill(v, F.concat(check, F.regexp_replace(new, "[^0-9]", "")))).otherwise(v)
+    return F.when(_is_iban(v), refill(v, F.concat(check, F.regexp_replace(new, "[^0-9]", "")))).otherwise(v)
+
+
+def _is_iban(v: Column) -> Column:
+    bare = F.regexp_replace(v, " ", "")
+    account = F.substring(bare, F.lit(5), F.length(bare))
+    return (_remainder_97(F.concat(account, F.substring(bare, 1, 4))) == 1) & (F.length(F.regexp_replace(account, "[^0-9]", "")) >= 2)
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -161,29 +185,80 @@ def _email(v: Column, key: str) -> Column:
 
 
 _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_VALID = {"iban": _is_iban, "card": _is_card}
+_PIECES = "array<struct<kind: string, value: string>>"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _piece(kind: Column, value: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
+
+
+def _cut(piece: Column, pattern: Column, kind: Callable[[Column], Column]) -> Column:
+    """The pieces that a piece without kind falls into: what matches (with its kind) and what is between."""
+    between = lambda x: _piece(F.lit(None), x)
+    pairs = F.zip_with(F.split(piece["value"], pattern, -1), F.regexp_extract_all(piece["value"], pattern, F.lit(0)), lambda x, v: F.when(v.isNull(), F.array(between(x))).otherwise(F.array(between(x), _piece(kind(v), v))))
+    return F.flatten(pairs).cast(_PIECES)
+
+
+def _open(pieces: Column, cut: Callable[[Column], Column]) -> Column:
+    """pieces with those without kind cut."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNotNull(), F.array(p)).otherwise(cut(p))))
+
+
+def _sized(pieces: Column, kind: str) -> Column:
+    """pieces with the valid values of a kind that has sizes cut out, size by size."""
+
+    def step(acc: Column, pattern: Column) -> Column:
+        def cut(p: Column) -> Column:
+            found = F.array_distinct(F.filter(F.regexp_extract_all(p["value"], pattern, F.lit(1)), _VALID[kind]))
+            exact = lambda v: F.concat(F.lit(_NO_DIGIT[0] + "(?:"), F.array_join(v, "|"), F.lit(")" + _NO_DIGIT[1]))
+            return _let(found, lambda v: F.when(F.size(v) == 0, F.array(p)).otherwise(_let(exact(v), lambda e: _cut(p, e, lambda _: F.lit(kind)))))
+
+        return _open(acc, cut)
+
+    return F.aggregate(F.array(*(F.lit(p) for p in SIZED[kind])), pieces, step)
+
+
+def _matched(pieces: Column, kinds: list[Kind]) -> Column:
+    """pieces with what looks like one of the kinds cut out; the kind is that of the first pattern that matches the whole value, as in the search."""
+    every = "|".join(f"(?:{k.pattern})" for k in kinds)
+    told = lambda v: reduce(lambda rest, k: F.when(v.rlike(f"^(?:{k.pattern})$"), F.lit(k.name)).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
+    return _open(pieces, lambda p: F.when(p["value"].rlike(every), _cut(p, F.lit(every), told)).otherwise(F.array(p)))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, found_col: str | None = None) -> DataFrame:
     """docs with pseudonyms in text_col; found_col gets array<struct<kind, value, pseudonym>> of the values replaced, in order."""
-    every = "|".join(f"(?:{k.pattern})" for k in kinds)
     text = F.col(text_col).cast("string")
-    has = text.rlike(every)
-    values = F.when(has, F.regexp_extract_all(text, F.lit(every), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-    def told(v: Column) -> Column:
-        """The kind is that of the first pattern that matches the whole value, as in the search."""
-        kind = reduce(lambda rest, k: F.when(v.rlike(f"^(?:{k.pattern})$"), F.lit(k.name)).otherwise(rest), reversed(kinds), F.lit(None).cast("string"))
-        return F.struct(kind.alias("kind"), v.alias("value"))
+    has = text.rlike("|".join(f"(?:{p})" for p in [*(k.pattern for k in kinds), *(_ANY[k.name] for k in kinds if k.name in SIZED)]))
 
     def made(x: Column) -> Column:
         new = reduce(lambda rest, k: F.when(x["kind"] == k.name, _MAKERS[k.name](x["value"], key)).otherwise(rest), reversed(kinds), x["value"])
         return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), new.alias("pseudonym"))
 
     # The row goes along as one column, so that none of its names can clash with those here.
-    staged = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), F.transform(values, told).alias("_values"))
-    staged = staged.withColumn("_made", F.transform("_values", made))
-    pieces = F.split("_text", every, -1)
-    joined = F.array_join(F.zip_with(pieces, "_made", lambda p, m: F.concat(p, F.coalesce(m["pseudonym"], F.lit("")))), "")
-    new = F.when(F.size("_made") > 0, joined).otherwise(F.col("_text"))
+    whole = F.array(_piece(F.lit(None), F.col("_text"))).cast(_PIECES)
+    staged = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"), has.alias("_has")).withColumn("_pieces", F.when(F.col("_has"), whole))
+    names, groups = [k.name for k in kinds], list[list[Kind]]()
+    for k in kinds:
+        if groups and groups[-1][0].name not in ("email", *SIZED) and k.name not in SIZED and k.name != "phone":
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    for group in groups:
+        pieces = F.col("_pieces")
+        if (name := group[0].name) in SIZED:
+            staged = staged.withColumn("_pieces", F.when(F.col("_has") & F.col("_text").rlike(_ANY[name]), _sized(pieces, name)).otherwise(pieces))
+        # Invalid candidates are pieces too, as what looks like a card is no phone; those of IBANs wait until cards within them are out.
+        if name == "iban" and "card" in names:
+            continue
+        group = [k for k in kinds if k.name in ("iban", "card")] if name == "card" else group
+        staged = staged.withColumn("_pieces", F.when(F.col("_has"), _matched(F.col("_pieces"), group)))
+    staged = staged.withColumn("_made", F.coalesce(F.transform("_pieces", made), F.array().cast("array<struct<kind: string, value: string, pseudonym: string>>")))
+    new = F.when(F.size("_made") > 0, F.array_join(F.transform("_made", lambda m: m["pseudonym"]), "")).otherwise(F.col("_text"))
     columns = [new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c != found_col]
-    return staged.select(*columns, *([F.filter("_made", lambda m: m["value"] != m["pseudonym"]).alias(found_col)] if found_col else []))
+    return staged.select(*columns, *([F.filter("_made", lambda m: m["kind"].isNotNull() & (m["value"] != m["pseudonym"])).alias(found_col)] if found_col else []))

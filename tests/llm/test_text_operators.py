@@ -150,6 +150,20 @@ def test_pseudonyms(spark, edge, empty):
     assert same.columns == edge.columns and sorted(map(str, same.collect())) == sorted(map(str, edge.collect()))
 
 
+def test_pseudonyms_beside_numbers(spark):
+    card, iban = "4111111111111111", "GB82 WEST 1234 5698 7654 32"
+    cards = [f"{card} {card}", f"2024-01-05 {card}", f"{card} 12/26", "7 4111 1111 1111 1111", "12-4111-1111-1111-1111-99", f"4111 1111 1111 1111 555 123 4567 {card}", f"{card} 10.0.0.1", f"{card} 2024-01-05", f"{card} 123-45-6789", f"10.0.0.1 {card}", f"555 123 4567 {card}"]
+    ibans = [f"{iban} 2024", f"{iban} EUR", f"AB12 {iban}", f"{iban} {iban}", "DE89370400440532013000 IN", f"{card} {iban}", f"AB12 {card}"]
+    table = spark.createDataFrame([row(i, t) for i, t in enumerate([*cards, *ibans])], SCHEMA)
+    found = P.pseudonymise(table, "k", found_col="found").orderBy("doc_id").collect()
+    kinds = [[x["kind"] for x in r["found"]] for r in found]
+    assert kinds == [["card"] * 2, ["date", "card"], ["card"], ["card"], ["card"], ["card", "phone", "card"], ["card", "ip"], ["card", "date"], ["card", "ssn"], ["ip", "card"], ["phone", "card"], ["iban"], ["iban"], ["iban"], ["iban"] * 2, ["iban"], ["card", "iban"], ["card"]]
+    for r, old in zip(found, [*cards, *ibans], strict=True):
+        assert card not in re.sub("[- ]", "", r["text"]) and iban not in r["text"] and "DE8937" not in r["text"]
+        assert len(r["text"]) == len(old) or "10.0.0.1" in old
+    assert found[2]["text"].endswith(" 12/26") and found[3]["text"].startswith("7 ") and found[12]["text"].endswith(" EUR") and found[13]["text"].startswith("AB12 GB")
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(189 * 7).select((F.col("id") % 189).alias("x"), F.floor(F.col("id") / 189).alias("y"))
     there = rows.select("x", "y", P.feistel(F.col("x"), F.col("y"), F.lit(189), F.lit(7), "k", "t").alias("p"))
