@@ -130,6 +130,18 @@ def test_mined_urls(spark):
     assert U.mine(labelled.limit(0)) == [] and U.filter_urls(table.limit(0), RULES).count() == 0
 
 
+def test_mined_urls_of_any_depth(spark):
+    """A verdict by the fifth path segment, and one that only five tokens together tell."""
+    deep = [(f"http://h.x/a/b/c/d/{'bad' if i % 2 else 'good'}", "block" if i % 2 else "allow") for i in range(200)]
+    five = [("http://h.x/" + "/".join(c for k, c in enumerate("pqrst") if k != i % 6), "block" if i % 6 == 5 else "allow") for i in range(300)]
+    for rows in (deep, five):
+        table = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(rows)], "page_id long, url string, verdict string")
+        mined = U.mine(table.select(U.tokens(F.col("url")).alias("tokens"), "verdict"), 0.05, 0.9)
+        found = {r["page_id"]: r["verdict"] for r in U.filter_urls(table.drop("verdict"), [], mined=mined).collect()}
+        assert [found[i] for i in range(len(rows))] == [v for _, v in rows]
+    assert [r.tokens for r in mined if r.verdict == "block"] == [tuple(f"path={c}" for c in "pqrst")]
+
+
 def test_signatures_meet():
     """Sets of similarity 0.8 or more always share a signature, at sizes of all bands and at their edges."""
     rng = np.random.default_rng(9)
