@@ -23,7 +23,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its least node) for the nodes of edges (a, b of a type with order); nodes without edges aren't listed."""
+    """node, component (its least node) for the nodes of edges (a, b of a type with order); nodes without edges aren't listed.
+
+    Raises if the stars aren't stable after so many rounds.
+    """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "stars")
     state = None
     for _ in range(rounds):
@@ -32,4 +35,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -208,6 +208,11 @@ def test_components(spark):
     assert {found[i] for i in range(41)} == {0} and found[103] == found[101] == found[100] == 100 and found[200] == 150 and len(found) == 46
 
 
+def test_components_not_settled(spark):
+    with pytest.raises(RuntimeError, match="settled"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+
+
 def test_pipeline_stages(spark, tmp_path, words):
     import corpus_pipeline
 
