@@ -4,7 +4,7 @@ A one-versus-rest linear SVM picks the language family, then one-versus-one line
 are the square roots of a text's shares of byte n-grams (of 1 to 4 bytes, ASCII letters lower-cased, every run of other ASCII
 characters one space), hashed to DIMENSIONS slots; their vectors have length 1.
 
-Fitting uses a bounded sample: of each language, the per_language labelled texts of the least hashes. Prediction reads the
+Fitting uses a bounded sample: of each language, the per_language different labelled texts of the least hashes. Prediction reads the
 text alone, and all of it.
 
 Defined results: a null text or one without a letter is und with score 0, as is everything if nothing was labelled; with one
@@ -152,7 +152,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     # A row a language; Spark keeps per_language rows of a language in each task before it shuffles the draws.
-    last = {r["lang"]: r["draw"] for r in rows.select("lang", "draw").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("draw")).collect()}
+    last = {r["lang"]: r["draw"] for r in rows.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("draw").alias("draw")).collect()}
     if not last:
         return LanguageModel([], {}, np.zeros((0, DIMENSIONS + 1), np.float32), {})
     limit = F.create_map(*(F.lit(v) for kv in last.items() for v in kv))

@@ -67,6 +67,16 @@ def test_languages(spark, edge, empty):
     assert L.predict(table.limit(3), single).first()["lang_pred"] == "en"
 
 
+def test_copies_use_up_no_sample(spark, monkeypatch):
+    """However often a text is there, per_language different ones are fitted."""
+    docs = [row(i, f"{lang} {i}", lang) for i, lang in enumerate(["en", "de"] * 20)]
+    table = spark.createDataFrame(docs + [d for d in docs for _ in range(30)], SCHEMA)
+    fitted = []
+    monkeypatch.setattr(L, "fit", lambda x, langs: fitted.extend(langs))
+    L.train(table, per_language=10)
+    assert sorted(fitted) == ["de"] * 10 + ["en"] * 10
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, digest string, id long")
 
