@@ -4,6 +4,9 @@ A one-versus-rest linear SVM picks the language family, then one-versus-one line
 are the square roots of a text's shares of byte n-grams (of 1 to 4 bytes, ASCII letters lower-cased, every run of other ASCII
 characters one space), hashed to DIMENSIONS slots; their vectors have length 1.
 
+The score compares learned languages with each other only. Whether a text is in any of them is told by a further one-versus-rest SVM a language: the
+greatest of their margins (own_margin) is low for texts in no learned language. It tells most with three languages or more, and little with one.
+
 Fitting uses a bounded sample: of each language, the per_language different labelled texts of the least hashes. Prediction reads the
 text alone, and all of it.
 
@@ -103,6 +106,11 @@ class LanguageModel:
     members: dict[str, list[str]]
     family_weights: np.ndarray
     pair_weights: dict[tuple[str, str], np.ndarray]
+    own_weights: np.ndarray | None = None
+
+    def own_margin(self, x: np.ndarray) -> float:
+        """The greatest margin of a language against the rest."""
+        return 0.0 if self.own_weights is None else max(float(w[:-1] @ x + w[-1]) for w in self.own_weights)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """The language and a score from 0 to 1: the confidence in the family times that in the language within it."""
@@ -143,7 +151,11 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
     for group in members.values():
         for a, b in combinations(group, 2):
             pairs[a, b] = svm(x, np.where(own == a, 1, -1), np.flatnonzero((own == a) | (own == b)))
-    return LanguageModel(families, members, weights, pairs)
+    # Some empty vectors count as rest, so that a text of other n-grams than the learned ones is far from every language.
+    nothing = max(len(x) // 32, 1)
+    more, of_more = np.concatenate([x, np.zeros((nothing, x.shape[1]), np.float32)]), np.append(own, [""] * nothing)
+    against_rest = np.stack([svm(more, np.where(of_more == n, 1, -1)) for n in names])
+    return LanguageModel(families, members, weights, pairs, against_rest)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 800) -> LanguageModel:
@@ -179,16 +191,17 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, lang_pred, score."""
+    """One row per row of docs: id, lang_pred, score, own_margin (0 where lang_pred is und)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # (families + pairs of close languages) * DIMENSIONS * 4 bytes
+    shared = spark.sparkContext.broadcast(model)  # (families + pairs of close languages + languages) * DIMENSIONS * 4 bytes
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        judge = lambda x: (*model.predict(x), model.own_margin(x))
         for part in slices(batches, "text"):
-            found = [model.predict(unit(x)) if t and _LETTER.search(t) else (UNKNOWN, 0.0) for t, x in zip(part.column(1).to_pylist(), features(part.column(1)), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["row_id", "lang_pred", "score"])
+            found = [judge(unit(x)) if t and _LETTER.search(t) else (UNKNOWN, 0.0, 0.0) for t, x in zip(part.column(1).to_pylist(), features(part.column(1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], ["row_id", "lang_pred", "score", "own_margin"])
 
-    return docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row_id {kind}, lang_pred string, score double").withColumnRenamed("row_id", id_col)
+    return docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row_id {kind}, lang_pred string, score double, own_margin double").withColumnRenamed("row_id", id_col)

@@ -67,6 +67,17 @@ def test_languages(spark, edge, empty):
     assert L.predict(table.limit(3), single).first()["lang_pred"] == "en"
 
 
+def test_unlearned_languages_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    docs = [row(i, " ".join(rng.choices(TEXTS[lang].split(), k=rng.randint(4, 40))), lang) for i, lang in enumerate(list(TEXTS) * 60)]
+    other = ["Litwo ojczyzno moja ty jestes jak zdrowie ile cie trzeba cenic ten tylko sie dowie kto cie stracil", "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Все люди рождаются свободными и равными в своем достоинстве и правах"]
+    other += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(5)]
+    table = spark.createDataFrame([*docs, *(row(1000 + i, t, None) for i, t in enumerate(other))], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, table, "").collect()) == list(range(len(docs)))
+
+
 def test_copies_use_up_no_sample(spark, monkeypatch):
     """However often a text is there, per_language different ones are fitted."""
     docs = [row(i, f"{lang} {i}", lang) for i, lang in enumerate(["en", "de"] * 20)]
