@@ -94,12 +94,14 @@ def similar_items(vectors: DataFrame, ids: list, k: int) -> DataFrame:
     return nearest(query, vectors, k)
 
 
-def co_clicked(clicks: DataFrame, types: list[str], least: int = 1, most_per_user: int = 100) -> DataFrame:
-    """a, b, n: pairs of items that the same user interacted with, from each user's last most_per_user distinct items (a bounded list, as in serving)."""
-    own = clicks.where(F.col("type").isin(*types)).groupBy("user", "item").agg(F.max(F.struct("ts", "seq")).alias("last"))
-    nth = F.row_number().over(Window.partitionBy("user").orderBy(F.col("last").desc(), "item"))
-    own = own.withColumn("_n", nth).where(F.col("_n") <= most_per_user).select("user", "item")
-    pairs = own.select("user", F.col("item").alias("a")).join(own.select("user", F.col("item").alias("b")), "user").where("a < b")
+def co_clicked(clicks: DataFrame, types: list[str], least: int = 1, block: int = 1000) -> DataFrame:
+    """a, b, n: pairs of items that the same user interacted with, of all of a user's distinct items. Lists of more than about block items are dealt out in blocks."""
+    own = clicks.where(F.col("type").isin(*types)).select("user", "item").distinct()
+    blocks = own.groupBy("user").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own = own.join(blocks, "user")
+    left = own.select("user", F.col("item").alias("a"), F.pmod(F.xxhash64("item"), F.col("_blocks")).cast("int").alias("_block"))
+    right = own.select("user", F.col("item").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    pairs = left.join(right, ["user", "_block"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

@@ -42,3 +42,14 @@ def test_training_set(spark, tmp_path):
     assert plain[0] == [10, 1, 0, 1, 1, 1, 0.5, 0, 2, 2.5]
     assert plain[1] == [5, 1, 1, 0, None, None, 0, 1, None, -2.5]
     assert plain[2] == [None, 0, 0, 0, None, None, 0, 2, None, None]
+
+
+def test_co_clicks_of_heavy_users(spark):
+    """All pairs of all of a user's items, however many, in whatever blocks."""
+    from rankweave.operators.models import co_clicked
+
+    rows = [("hot", str(i), "click", i, i) for i in range(150)] + [("u", "1", "click", 1, 1), ("u", "2", "click", 2, 2), ("u", "2", "click", 3, 3), ("u", "3", "view", 4, 4)]
+    clicks = spark.createDataFrame(rows, "user string, item string, type string, ts long, seq long")
+    for more in ({}, {"block": 20}):
+        found = {(r["a"], r["b"]): r["n"] for r in co_clicked(clicks, ["click"], **more).collect()}
+        assert len(found) == 150 * 149 // 2 and found.pop(("1", "2")) == 2 and set(found.values()) == {1}
