@@ -139,22 +139,22 @@ def _confidence(margin: float) -> float:
 
 
 def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
+    """A model of the first rows of x, one a language in langs; rows after these are in no language. x isn't copied."""
+    labelled = np.arange(len(langs))
     names = sorted(set(langs))
     members: dict[str, list[str]] = {}
     for n in names:
         members.setdefault(_FAMILY.get(n, "other"), []).append(n)
     families = sorted(members)
     of = np.array([families.index(_FAMILY.get(k, "other")) for k in langs])
-    weights = np.stack([svm(x, np.where(of == i, 1, -1)) for i in range(len(families))]) if len(families) > 1 else np.zeros((len(families), x.shape[1] + 1), np.float32)
+    weights = np.stack([svm(x, np.where(of == i, 1, -1), labelled) for i in range(len(families))]) if len(families) > 1 else np.zeros((len(families), x.shape[1] + 1), np.float32)
     own = np.array(langs)
     pairs = {}
     for group in members.values():
         for a, b in combinations(group, 2):
             pairs[a, b] = svm(x, np.where(own == a, 1, -1), np.flatnonzero((own == a) | (own == b)))
-    # Some empty vectors count as rest, so that a text of other n-grams than the learned ones is far from every language.
-    nothing = max(len(x) // 32, 1)
-    more, of_more = np.concatenate([x, np.zeros((nothing, x.shape[1]), np.float32)]), np.append(own, [""] * nothing)
-    against_rest = np.stack([svm(more, np.where(of_more == n, 1, -1)) for n in names])
+    of = np.append(own, [""] * (len(x) - len(langs)))
+    against_rest = np.stack([svm(x, np.where(of == n, 1, -1)) for n in names])
     return LanguageModel(families, members, weights, pairs, against_rest)
 
 
@@ -182,7 +182,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "draw", "slots", "counts"])
 
     found = sorted({(r["lang"], r["draw"]): r for r in sample.select("text", "lang", "draw").mapInArrow(count, "lang string, draw long, slots binary, counts binary").dropDuplicates(["lang", "draw"]).toLocalIterator()}.items())
-    x = np.zeros((len(found), DIMENSIONS), np.float32)
+    # Some empty vectors count as rest, so that a text of other n-grams than the learned ones is far from every language.
+    x = np.zeros((len(found) + max(len(found) // 32, 1), DIMENSIONS), np.float32)
     for i, (_, r) in enumerate(found):
         counts = np.zeros(DIMENSIONS)
         counts[np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["counts"], np.uint32)
