@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -45,17 +44,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df written to the shared folder and read again: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, name)[0]
+
+
+#: Spark drops a plan's shuffle files when it has run; a plan that is written runs once.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The same, and where: for tables to drop before the query ends."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -63,12 +68,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()  # else this side still holds the plans
-    spark.sparkContext._jvm.System.gc()
-
-
 _shipped: set[str] = set()
 
 

@@ -46,10 +46,10 @@ def shingle_sets(column) -> list[np.ndarray]:
     return sets
 
 
-def class_id(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(shingles ^ _STEP).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def set_name(shingles: np.ndarray) -> bytes:
+    """A name of 16 bytes of a set: equal sets have equal names. Its first 8 bytes serve where a rare clash does no harm."""
+    h = mix(shingles ^ _STEP)
+    return mix(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h)), mix(h + _STEP).sum(dtype=np.uint64)], np.uint64)).tobytes()
 
 
 def band(size: int) -> tuple[int, int, int]:
@@ -80,7 +80,7 @@ class Scheme:
         """Signatures for partners that differ in at most so many elements."""
         with np.errstate(over="ignore"):
             h = mix(shingles ^ self.seed)
-            part = ((h >> np.uint64(33)) % np.uint64(self.n1 * self.n2)).astype(np.int64)
+            part = (((h >> np.uint64(32)) * np.uint64(self.n1 * self.n2)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ordered = part[order]
             first = np.searchsorted(ordered, np.arange(self.n1 * self.n2 + 1))
@@ -121,13 +121,26 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-SKETCH = 2048
+#: Bits of the least and of the longest sketch.
+LEAST_SKETCH, MOST_SKETCH = 64, 32_768
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of SKETCH hash slots. Sets that differ in d elements have sketches that differ in at most d bits."""
-    slots = (mix(shingles + _STEP) % np.uint64(SKETCH)).astype(np.int64)
-    return np.packbits((np.bincount(slots, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """Parities of hash slots, a power of two of them and two or more a shingle up to MOST_SKETCH.
+
+    Sets that differ in d elements have sketches of the same length that differ in at most d bits. folded() makes a sketch of half the length.
+    """
+    slots = min(max(LEAST_SKETCH, 1 << (2 * len(shingles) - 1).bit_length()), MOST_SKETCH)
+    at = (mix(shingles + _STEP) & np.uint64(slots - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=slots) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches (64-bit words), folded to a length of so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:

@@ -175,7 +175,8 @@ def test_signatures_meet():
             b = np.unique(np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**63, extra, dtype=np.uint64)]))
             if G.linked(a, b):
                 assert set(G.signatures(a).tolist()) & set(G.signatures(b).tolist())
-                x, y = (np.frombuffer(G.sketch(s), np.uint64) for s in (a, b))
+                x, y = (np.frombuffer(G.sketch(s), np.uint64)[None] for s in (a, b))
+                x, y = (G.folded(z, min(x.shape[1], y.shape[1])) for z in (x, y))
                 assert 9 * int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b)
 
 
@@ -223,6 +224,21 @@ def test_ngram_join(spark, edge, empty, words):
     assert ngram_join(empty).count() == 0
 
 
+def test_ngram_join_in_blocks(spark, words, monkeypatch):
+    """The same links where groups come in pairs of blocks, tasks send often, stars are cut, and nothing is small or broadcast."""
+    from rankweave.llm import ngram_join as J
+
+    for name, value in (("BLOCK", 3), ("SMALL", 1), ("STAR", 2), ("GATHER", 500), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(12)
+    base = rng.choices(words, k=120)
+    chain = [base[i : i + 100] for i in range(0, 20)]
+    docs = [*chain, *(base[: 60 + i % 3] + rng.choices(words, k=60) for i in range(10)), *(rng.choices(words, k=50) for _ in range(5)), *chain[:4]]
+    table = spark.createDataFrame([row(i, " ".join(w)) for i, w in enumerate(docs)], SCHEMA)
+    found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join(table).collect())
+    assert found == brute_components([(r["doc_id"], r["text"]) for r in table.collect()])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 150)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
