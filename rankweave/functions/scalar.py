@@ -102,3 +102,9 @@ def period_start(ts_ms: Column, period_ms: int) -> Column:
 def duration_ms(text: str) -> int:
     """Milliseconds of a number with s, m, h or d."""
     return int(text[:-1]) * {"s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}[text[-1]]
+
+
+def noise(*keys: str, seed: int = 42) -> Column:
+    """A number from 0 up to 1 by a hash of the keys: the same in every run, however rows are dealt. NULL keys count as empty."""
+    name = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))

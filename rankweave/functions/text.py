@@ -27,14 +27,14 @@ def unique(tokens: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """The distinct n-grams of characters of each token, in order; tokens shorter than n have none."""
-    of = lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return unique(F.flatten(F.transform(tokens, of)))
+    # Every token once, then one pattern that looks ahead at each character (not from within a surrogate pair); tokens have no spaces.
+    return unique(F.regexp_extract_all(F.array_join(F.array_distinct(tokens), " "), F.lit(rf"(?=([^ \uDC00-\uDFFF][^ ]{{{n - 1}}}))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all elements of two arrays; 0.0 if either is empty or missing."""
-    both = (F.size(a) > 0) & (F.size(b) > 0)
-    return F.coalesce(F.when(both, F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))), F.lit(0.0))
+    """Shared over all elements of two arrays of distinct elements; 0.0 if either is empty or missing."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)), F.lit(0.0))
 
 
 def idf(docs: Column, df: Column) -> Column:
@@ -67,7 +67,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def term_frequencies(docs: DataFrame, fields: list[str], tokens=terms) -> tuple[DataFrame, DataFrame]:
     """(docs, avgdl) of one row and (term, df): documents, mean distinct terms of a field, documents with the term in any field."""
-    lists = docs.select(*(unique(tokens(F.col(f))).alias(f) for f in fields))
+    lists = docs.select(*(F.array_distinct(tokens(F.col(f))).alias(f) for f in fields))
     sizes = sum((F.coalesce(F.size(f), F.lit(0)) for f in fields), F.lit(0))
     present = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
     stats = lists.agg(F.count("*").alias("docs"), (F.sum(sizes) / F.nullif(F.sum(present), F.lit(0))).alias("avgdl"))

@@ -11,9 +11,11 @@ SESSION_MS = 30 * 60_000
 def sessions(clicks: DataFrame, gap_ms: int = SESSION_MS) -> DataFrame:
     """clicks (ranking, ts, seq, shown: when the ranking was) with in_session: no gap of gap_ms or more since the ranking, from click to click.
 
-    Every click renews the session; after the first gap all later ones are out. Clicks without a ranking, or of an unknown one (shown is NULL), are out.
+    Every click renews the session; after the first gap all later ones are out. Clicks without a ranking, or of an unknown one (shown is NULL), are out;
+    they get a key of their own each, as a common one would put them all in one task.
     """
-    order = Window.partitionBy("ranking").orderBy("ts", "seq")
+    lone = F.when(F.col("shown").isNull(), F.xxhash64("ts", "seq"))
+    order = Window.partitionBy("ranking", lone).orderBy("ts", "seq")
     before = F.coalesce(F.lag("ts").over(order), F.col("shown"))
     broken = (F.col("ts") - before >= gap_ms) | F.col("shown").isNull() | (F.col("ts") < F.col("shown"))
     return clicks.withColumn("_broken", broken.cast("int")).withColumn("in_session", F.col("ranking").isNotNull() & (F.max("_broken").over(order) == 0)).drop("_broken")
@@ -24,11 +26,12 @@ def clickthroughs(rankings: DataFrame, clicks: DataFrame, gap_ms: int = SESSION_
 
     rankings: ranking, ts, items (array in order). clicks: ranking, item, type, ts, seq.
     """
-    known = clicks.join(rankings.select("ranking", F.col("ts").alias("shown")), "ranking", "left")
+    # The ranking's row goes along with its clicks, so one shuffle serves the join, the sessions and the lists.
+    known = clicks.select("ranking", "item", "type", "ts", "seq").join(rankings.select("ranking", F.col("ts").alias("shown"), "items"), "ranking", "left")
     marked = sessions(known, gap_ms)
     newest = F.transform(F.sort_array(F.collect_list(F.struct("ts", "seq", "item", "type")), asc=False), lambda x: F.struct(x["item"].alias("item"), x["type"].alias("type")))
-    inside = marked.where("in_session").groupBy("ranking").agg(newest.alias("interactions"))
-    joined = rankings.join(inside, "ranking").select(F.col("ranking").cast("string").alias("id"), "ts", "items", "interactions")
+    inside = marked.where("in_session").groupBy("ranking").agg(F.first("shown").alias("ts"), F.first("items").alias("items"), newest.alias("interactions"))
+    joined = inside.select(F.col("ranking").cast("string").alias("id"), "ts", "items", "interactions")
     single = marked.where(~F.col("in_session")).select(F.concat_ws(":", "ranking", "item", "ts", "seq").alias("id"), "ts", F.array("item").alias("items"), F.array(F.struct("item", "type")).alias("interactions"))
     return joined.unionByName(single)
 
@@ -120,26 +123,57 @@ def usable(selector: Column, interactions: str = "interactions", values: str = "
 # Splits into train and test.
 
 
-def split_time(rows: DataFrame, order: list[str], ratio: float = 0.8, slots: int = 64) -> DataFrame:
+def _nth_value(rows: DataFrame, value: Column, n: int, few: int = 20_000) -> tuple[Column, int, int]:
+    """Of the rows' values (numbers): the n-th smallest (from 1) as a condition-ready literal, the number of rows below it, and of those that equal it.
+
+    Histograms of 1,024 bins narrow the range around it, so the driver sees counts and then at most few values.
+    """
+    inside, below = rows.select(value.cast("double").alias("_v")), 0
+    while True:
+        low, high, count = inside.agg(F.min("_v"), F.max("_v"), F.count("*")).first()
+        if low == high or count <= few:
+            break
+        bin_of = F.floor((F.col("_v") - low) / (high - low) * 1024)
+        counts = sorted(inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect())
+        for b, size in counts:
+            if n <= below + size:
+                inside = inside.where(bin_of == b)
+                break
+            below += size
+    if low == high:
+        return F.lit(low), below, count
+    every = sorted(r[0] for r in inside.collect())
+    found = every[n - below - 1]
+    return F.lit(found), below + every.index(found), every.count(found)
+
+
+def split_time(rows: DataFrame, order: list[str], ratio: float = 0.8) -> DataFrame:
     """rows with part: the first round(n * ratio) in order are train. One row is both (two rows come back); of two, one each.
 
-    The cut is a value of order, found by a distributed range sort and per-partition counts, not by a global window.
+    order: columns of numbers or times, without NULLs. The cut is found as a value, column by column, so rows are neither sorted nor shuffled. Rows with
+    the cut's own values in all of order are told apart by a hash of all columns; only those that repeat each other in full are counted off in one task.
     """
     n = rows.count()
     if n == 0:
         raise ValueError("nothing to split")
     if n == 1:
         return rows.withColumn("part", F.explode(F.array(F.lit("train"), F.lit("test"))))
-    cut = 1 if n == 2 else max(int(n * ratio + 0.5), 1)
-    ranged = rows.repartitionByRange(slots, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # slots rows at most
-    seen, where = 0, F.lit("test")
-    for part in sorted(sizes):
-        within = cut - seen
-        seen += sizes[part]
-        place = F.lit("train") if within >= sizes[part] else F.when((F.col("_id") - part * (1 << 33)) < max(within, 0), "train").otherwise("test")
-        where = F.when(F.col("_part") == part, place).otherwise(where)
-    return ranged.withColumn("part", where).drop("_part", "_id")
+    left = 1 if n == 2 else max(int(n * ratio + 0.5), 1)
+
+    def number(c: str) -> Column:
+        kind = rows.schema[c].dataType.typeName()
+        return F.unix_micros(F.col(c).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(c)
+
+    before, equal, same = F.lit(False), F.lit(True), n
+    for value in (*(number(c) for c in order), F.shiftrightunsigned(F.xxhash64(*rows.columns), 12)):
+        value = value.cast("double")
+        cut, below, same = _nth_value(rows.where(equal), value, left)
+        before, equal, left = before | (equal & (value < cut)), equal & (value == cut), left - below
+        if same == left:
+            return rows.withColumn("part", F.when(before | equal, "train").otherwise("test"))
+    ties = rows.where(equal).withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    apart = rows.where(~equal).withColumn("part", F.when(before, "train").otherwise("test"))
+    return apart.unionByName(ties.withColumn("part", F.when(F.col("_n") <= left, "train").otherwise("test")).drop("_n"))
 
 
 def split_random(rows: DataFrame, keys: list[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:

@@ -65,6 +65,8 @@ def bm25_scores(pairs: DataFrame, query: str, doc: str, ids: list[str], stats: D
     sized = pairs.select(*ids, T.unique(T.terms(F.col(query))).alias("_q"), T.unique(T.terms(F.col(doc))).alias("_d"))
     shared = sized.select(*ids, F.size("_d").alias("_n"), F.explode(F.array_intersect("_q", "_d")).alias("term"))
     one = stats.select(F.col("docs").alias("_docs"), F.col("avgdl").alias("_avgdl"))
+    # Of the dictionary, only the terms that meet take part in the join.
+    df = df.join(shared.select("term").distinct(), "term", "left_semi")
     part = T.bm25_term(F.col("_docs").cast("double"), F.col("_avgdl"), F.coalesce("df", F.lit(0)).cast("double"), F.col("_n").cast("double"))
     scores = shared.join(df, "term", "left").crossJoin(F.broadcast(one)).groupBy(*ids).agg(F.sum(part).alias("score"))  # one row
     return sized.select(*ids).join(scores, ids, "left").select(*ids, F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -82,13 +84,13 @@ def diversity_number(rows: DataFrame, ranking: str, pos: str, value: str, top: i
 def diversity_string(rows: DataFrame, ranking: str, pos: str, item: str, values: str, top: int = 20) -> DataFrame:
     """The share that the item's strings have among all strings of the first top valued items of the ranking."""
     has = F.col(values).isNotNull() & (F.size(values) > 0)
-    nth = F.sum(has.cast("int")).over(Window.partitionBy(ranking).orderBy(pos))
-    strings = rows.withColumn("_nth", F.when(has, nth)).select(ranking, pos, "_nth", F.explode(values).alias("_s"))
-    counts = strings.where(F.col("_nth") <= top).groupBy(ranking, "_s").agg(F.count("*").alias("_n"))
-    totals = counts.groupBy(ranking).agg(F.sum("_n").alias("_all"))
-    sums = strings.join(counts, [ranking, "_s"], "left").groupBy(ranking, pos).agg(F.sum(F.coalesce("_n", F.lit(0))).alias("_own"))
-    found = rows.join(sums, [ranking, pos], "left").join(totals, ranking, "left")
-    return found.withColumn("diversity", F.when(F.col("_all").isNull(), F.lit(0.0)).otherwise(F.col("_own") / F.col("_all"))).drop("_own", "_all")
+    group = Window.partitionBy(ranking)
+    nth = F.sum(has.cast("int")).over(group.orderBy(pos))
+    ranked = rows.withColumn("_first", F.when(has & (nth <= top), F.col(values)))
+    # A ranking is a bounded list, so all strings of its first items fit a row; one shuffle, no join.
+    ranked = ranked.withColumn("_all", F.flatten(F.collect_list("_first").over(group)))
+    own = F.aggregate(values, F.lit(0).cast("long"), lambda acc, s: acc + F.size(F.filter("_all", lambda x: x == s)))
+    return ranked.withColumn("diversity", F.when(F.size("_all") == 0, F.lit(0.0)).when(has, own / F.size("_all"))).drop("_first", "_all")
 
 
 def minmax(value: Column, ranking: str) -> Column:

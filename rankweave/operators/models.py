@@ -22,7 +22,7 @@ def trending(clicks: DataFrame, weights: dict[str, float], decay: float, window_
     return days.groupBy("item").agg(F.sum(F.col("n") * F.pow(F.lit(decay), "age") * weight).alias("score"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """For each query (query, vector, exclude: array of ids), the k most cosine-similar vectors (id, vector): query, id, score, rank.
 
     Queries are a stated, bounded set (they are collected in blocks and sent to all vectors, which stay where they are). Each
@@ -46,9 +46,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 8) ->
                 own = np.sqrt((x**2).sum(axis=1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     scores = (matrix @ x.T) / (norms[:, None] * own[None, :])
-                ids = pdf["id"].tolist()
+                ids = pdf["id"].to_numpy()
+                scores[np.isnan(scores)] = -np.inf
                 for q in range(len(names)):
-                    found = [(-s, i) for s, i in zip(scores[q].tolist(), ids, strict=True) if s == s and i not in exclude[q]]
+                    # All that may be among the k, ties with the last included, however many are excluded.
+                    most = k + len(exclude[q])
+                    near = np.flatnonzero(scores[q] >= np.partition(scores[q], -most)[-most]) if len(ids) > most else np.arange(len(ids))
+                    found = [(-s, i) for s, i in zip(scores[q][near].tolist(), ids[near].tolist(), strict=True) if s != -np.inf and i not in exclude[q]]
                     best[q] = sorted(best[q] + found)[:k]
             yield pd.DataFrame([(names[q], i, -s) for q in range(len(names)) for s, i in best[q]], columns=["query", "id", "score"])
 
@@ -74,15 +78,22 @@ def centroid(vectors: DataFrame, groups: list[str]) -> DataFrame:
     return each.groupBy(*groups).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("vector"))
 
 
+def numbered(values: DataFrame, column: str, out: str, slots: int = 4096) -> DataFrame:
+    """Distinct values with a whole number each from 0: values fall in slots by hash, a slot's first number comes from the small table of slots."""
+    dealt = values.withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(slots)))
+    sizes = dealt.groupBy("_slot").agg(F.count("*").alias("_n"))
+    first = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))).select("_slot", F.coalesce("_first", F.lit(0)).alias("_first"))  # a row a slot
+    nth = F.row_number().over(Window.partitionBy("_slot").orderBy(column)) - 1
+    return dealt.withColumn("_nth", nth).join(F.broadcast(first), "_slot").select(column, (F.col("_first") + F.col("_nth")).cast("int").alias(out))  # slots rows at most
+
+
 def als_vectors(clicks: DataFrame, types: list[str], rank: int = 16, seed: int = 42, iterations: int = 8) -> DataFrame:
-    """Item vectors (id, vector) of implicit-feedback ALS over (user, item) counts of these types. Ids are hashed to integers by their order of value."""
-    from pyspark.ml.feature import StringIndexer
+    """Item vectors (id, vector) of implicit-feedback ALS over (user, item) counts of these types. Ids are numbered in their order, without passing through the driver."""
     from pyspark.ml.recommendation import ALS
 
-    counts = clicks.where(F.col("type").isin(*types)).groupBy("user", "item").agg(F.count("*").cast("double").alias("rating"))
+    typed = clicks.where(F.col("type").isin(*types) & F.col("user").isNotNull() & F.col("item").isNotNull()).groupBy("user", "item").agg(F.count("*").cast("double").alias("rating"))
     for c in ("user", "item"):
-        counts = StringIndexer(inputCol=c, outputCol=f"_{c}", stringOrderType="alphabetAsc").fit(counts).transform(counts)
-    typed = counts.withColumns({f"_{c}": F.col(f"_{c}").cast("int") for c in ("user", "item")})
+        typed = typed.join(numbered(typed.select(c).distinct(), c, f"_{c}"), c)
     model = ALS(userCol="_user", itemCol="_item", ratingCol="rating", implicitPrefs=True, rank=rank, seed=seed, maxIter=iterations).fit(typed)
     return model.itemFactors.withColumnRenamed("id", "_item").join(typed.select("_item", F.col("item").alias("id")).distinct(), "_item").select("id", F.col("features").cast("array<double>").alias("vector"))
 

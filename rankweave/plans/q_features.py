@@ -194,9 +194,9 @@ def position(spark: SparkSession, d: str) -> DataFrame:
     return ranking_items(spark, d).select("ranking", "item", "pos")
 
 
-@query("random")
+@query("random", f"WITH {RI} SELECT ranking, pos, CAST(('0x' || substr(md5('42|' || ranking || '|' || pos), 1, 13)) AS BIGINT) / 4503599627370496.0 AS value FROM ri")
 def random_feature(spark: SparkSession, d: str) -> DataFrame:
-    return ranking_items(spark, d).select("ranking", "pos", F.rand(42).alias("value"))
+    return ranking_items(spark, d).select("ranking", "pos", S.noise("ranking", "pos").alias("value"))
 
 
 @query("norm_minmax", f"WITH {RI} SELECT ranking, pos, round((price - min(price) OVER w) / nullif(max(price) OVER w - min(price) OVER w, 0), 6) AS value FROM ri WINDOW w AS (PARTITION BY ranking)")

@@ -41,12 +41,17 @@ def snowplow_json(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.get_json_object("data", "$.seq").cast("long").alias("seq"), F.get_json_object("data", "$.user").alias("usr"))
 
 
-@query("event_typed_projection", f"WITH {EV} SELECT seq, ts, value, item || '!' AS tag FROM ev WHERE type IN ('click', 'purchase')")
+@query("event_typed_projection", f"WITH {EV} SELECT seq, ts, value, '[' || item || '!' AS tag, '00' || item AS code, item || ',true' AS list, CAST(item AS DOUBLE) + 0.5 AS sizes FROM ev WHERE type IN ('click', 'purchase')")
 def event_typed_projection(spark: SparkSession, d: str) -> DataFrame:
     rows = interactions(spark, d)
-    raw = rows.select(F.lit("interaction").alias("event"), F.col("seq").cast("string").alias("id"), F.col("ts").cast("string").alias("timestamp"), "item", "user", F.lit(None).cast("string").alias("session"), F.lit(None).cast("string").alias("ranking"), "type", F.array(F.struct(F.lit("value").alias("name"), F.col("value").cast("string").alias("value")), F.struct(F.lit("tag").alias("name"), F.concat("item", F.lit("!")).alias("value"))).cast(f"array<{E.RAW_FIELD}>").alias("fields"), F.lit(None).cast("array<struct<id: string, relevancy: double, label: int, fields: array<struct<name: string, value: string>>>>").alias("items"))
+    # As JSON text; tag and code are strings that look like something else, list has the item twice.
+    text = F.to_json(F.struct(F.lit("interaction").alias("event"), F.col("seq").cast("string").alias("id"), F.col("ts").alias("timestamp"), "item", "user", "type"))
+    values = F.concat(F.lit('[{"name":"value","value":'), F.col("value").cast("string"), F.lit('},{"name":"tag","value":"['), F.col("item"), F.lit('!"},{"name":"code","value":"00'), F.col("item"), F.lit('"},{"name":"list","value":["'), F.col("item"), F.lit('","true"]},{"name":"sizes","value":['), F.col("item"), F.lit(",0.5]}]"))
+    line = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"fields":'), values, F.lit("}"))
+    raw = rows.select(F.from_json(line, E.RAW).alias("e")).select("e.*")
     typed = E.decode(raw).where(F.col("type").isin("click", "purchase"))
-    return typed.select(F.col("id").cast("long").alias("seq"), "ts", F.col("fields")["value"]["n"].alias("value"), F.col("fields")["tag"]["s"].alias("tag"))
+    field = F.col("fields")
+    return typed.select(F.col("id").cast("long").alias("seq"), "ts", field["value"]["n"].alias("value"), field["tag"]["s"].alias("tag"), field["code"]["s"].alias("code"), F.array_join(field["list"]["sl"], ",").alias("list"), F.aggregate(field["sizes"]["nl"], F.lit(0.0), lambda a, x: a + x).alias("sizes"))
 
 
 @query("scalar_last_value", f"WITH {EV} SELECT usr, max_by(value, seq) AS value FROM ev GROUP BY usr")
@@ -128,10 +133,11 @@ def state_ttl(spark: SparkSession, d: str) -> DataFrame:
     return state.expired(last, F.lit(CUT), 5 * MS)
 
 
-@query("ordering_guard", f"WITH {EV} SELECT seq, ts FROM (SELECT seq, ts, lag(ts) OVER (ORDER BY seq DESC) AS p FROM ev WHERE type = 'signup') WHERE ts < p")
+@query("ordering_guard", f"WITH {EV} SELECT seq, ts FROM (SELECT seq, ts, lag(ts) OVER (ORDER BY (seq * 7919) % 1000003, seq) AS p FROM ev) WHERE ts < p")
 def ordering_guard(spark: SparkSession, d: str) -> DataFrame:
-    rows = interactions(spark, d).where("type = 'signup'").withColumn("seq", -F.col("seq")).withColumn("type", F.lit("x"))
-    return state.ordering_errors(rows, ["type"]).select((-F.col("seq")).alias("seq"), "ts")
+    # All events, in an order that isn't theirs.
+    rows = interactions(spark, d).select((F.pmod(F.col("seq") * 7919, F.lit(1_000_003)) * 1_000_000 + F.col("seq")).alias("place"), "seq", "ts")
+    return state.ordering_errors(rows.select(F.col("place").alias("seq"), F.col("seq").alias("id"), "ts"), span=10_000_000_000).select(F.col("id").alias("seq"), "ts")
 
 
 @query("number_pit", f"""WITH {EV}, w AS (SELECT item, seq AS s, value AS v FROM ev WHERE type = 'view')

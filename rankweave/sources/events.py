@@ -2,51 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.scalar import duration_ms, event_millis
 
 FIELD = "struct<s: string, b: boolean, n: double, sl: array<string>, nl: array<double>>"
-RAW_FIELD = "struct<name: string, value: string>"
-#: The shape of all kinds of event; parts that a kind lacks are NULL. Field values are JSON text until they are typed.
+RAW_FIELD = "struct<name: string, value: variant>"
+#: The shape of all kinds of event; parts that a kind lacks are NULL. Field values keep their JSON type until they are decoded.
 RAW = f"event string, id string, timestamp string, item string, user string, session string, ranking string, type string, fields array<{RAW_FIELD}>, items array<struct<id: string, relevancy: double, label: int, fields: array<{RAW_FIELD}>>>"
 
 
 def typed_field(value: Column) -> Column:
-    """A JSON value as the one of string, boolean, number, list of strings, list of numbers that it is; NULL for others (null, objects, mixed lists)."""
-    number = value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-    boolean = value.isin("true", "false")
-    text_list = F.when(value.startswith("["), F.from_json(value, "array<string>"))
-    numbers = F.transform(text_list, lambda x: x.try_cast("double"))
-    is_list = value.startswith("[") & text_list.isNotNull()
-    quoted = F.size(F.regexp_extract_all(value, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0)))
-    all_numbers = is_list & (F.size(text_list) > 0) & F.forall(numbers, lambda x: x.isNotNull()) & (quoted == 0)
-    all_texts = is_list & ((F.size(text_list) == 0) | (quoted == F.size(text_list)))
+    """A JSON value (variant) as the one of string, boolean, number, list of strings, list of numbers that it is; an empty list is one of strings.
+
+    All parts are NULL for others: null, objects, lists that mix types or have a null.
+    """
+    kind = F.schema_of_variant(value)
+
+    def listed(of: str) -> Column:
+        whole = F.try_variant_get(value, "$", f"array<{of}>")
+        return F.when(F.forall(whole, lambda x: x.isNotNull()), whole)
+
     return F.struct(
-        F.when(~number & ~boolean & ~value.startswith("[") & ~value.startswith("{"), value).alias("s"),
-        F.when(boolean, value == "true").alias("b"),
-        F.when(number, value.try_cast("double")).alias("n"),
-        F.when(all_texts, text_list).alias("sl"),
-        F.when(all_numbers, numbers).alias("nl"),
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).alias("s"),
+        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).alias("b"),
+        F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double")).alias("n"),
+        F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), listed("string")).alias("sl"),
+        F.when(kind.rlike("^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL)"), listed("double")).alias("nl"),
     )
 
 
+def checked(raw: DataFrame) -> DataFrame:
+    """raw with metadata read as item, ts (milliseconds), fields a map of typed values (the first of a name), and error: why the event can't be taken, or NULL."""
+    given = F.coalesce("fields", F.array().cast(f"array<{RAW_FIELD}>"))
+    typed = F.transform(given, lambda f: F.struct(f["name"].alias("key"), typed_field(f["value"]).alias("value")))
+    untyped = F.exists("_typed", lambda f: f["key"].isNull() | F.coalesce(f["value"]["s"].cast("string"), f["value"]["b"].cast("string"), f["value"]["n"].cast("string"), F.when(f["value"]["sl"].isNotNull() | f["value"]["nl"].isNotNull(), "list")).isNull())
+    first = F.aggregate("_typed", F.array().cast(f"array<struct<key: string, value: {FIELD}>>"), lambda acc, f: F.when(f["key"].isNull() | F.exists(acc, lambda a: a["key"] == f["key"]), acc).otherwise(F.concat(acc, F.array(f))))
+    lacks = {"item": F.col("item").isNull(), "user": F.col("user").isNull(), "ranking": F.size(F.coalesce("items", F.array())) <= 0, "interaction": F.col("item").isNull() | F.col("type").isNull()}
+    rows = raw.withColumn("event", F.when(F.col("event") == "metadata", "item").otherwise(F.col("event"))).withColumn("ts", event_millis(F.col("timestamp"))).withColumn("_typed", typed)
+    error = F.when(F.col("event").isNull(), "no event").when(~F.col("event").isin(*lacks), "unknown kind of event").when(F.coalesce(F.length("id"), F.lit(0)) == 0, "no id").when(F.col("ts").isNull(), "no timestamp")
+    for kind, lack in lacks.items():
+        error = error.when((F.col("event") == kind) & lack, f"no part that the kind {kind} needs")
+    return rows.withColumn("error", error.when(untyped, "field of no known type")).withColumn("fields", F.map_from_entries(first)).drop("_typed", "timestamp")
+
+
 def decode(raw: DataFrame) -> DataFrame:
-    """Parsed events with ts (milliseconds), metadata read as item, fields a map of typed values (the first of a name); rows without what their kind needs are left out."""
-    kind = F.when(F.col("event") == "metadata", "item").otherwise(F.col("event"))
-    fields = F.map_from_entries(F.array_distinct(F.transform(F.coalesce("fields", F.array().cast(f"array<{RAW_FIELD}>")), lambda f: F.struct(f["name"].alias("key"), typed_field(f["value"]).alias("value")))))
-    first = F.aggregate(F.coalesce("fields", F.array().cast(f"array<{RAW_FIELD}>")), F.array().cast(f"array<{RAW_FIELD}>"), lambda acc, f: F.when(F.exists(acc, lambda a: a["name"] == f["name"]), acc).otherwise(F.concat(acc, F.array(f))))
-    typed = raw.withColumn("event", kind).withColumn("ts", event_millis(F.col("timestamp"))).withColumn("fields", first).withColumn("fields", fields)
-    valid = F.col("id").isNotNull() & (F.length("id") > 0) & F.col("ts").isNotNull() & F.when(F.col("event") == "item", F.col("item").isNotNull()).when(F.col("event") == "user", F.col("user").isNotNull()).when(F.col("event") == "ranking", F.size(F.coalesce("items", F.array())) > 0).when(F.col("event") == "interaction", F.col("item").isNotNull() & F.col("type").isNotNull()).otherwise(False)
-    return typed.where(valid).drop("timestamp")
+    """The events of raw that can be taken (see checked)."""
+    return checked(raw).where(F.col("error").isNull()).drop("error")
+
+
+def read_checked(spark: SparkSession, path: str, glob: str = "*.json*", array: bool = False) -> DataFrame:
+    """checked() events of a file or folder (with all below it), one JSON value a line, or arrays; gzip and zstd by extension. Lines that aren't JSON have an error and _line, their text."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": glob, "multiLine": str(array).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}
+    return checked(spark.read.schema(RAW + ", _line string").options(**options).json(path))
 
 
-def read_json(spark: SparkSession, path: str, glob: str = "*.json*", array: bool = False) -> DataFrame:
-    """Events of a file or folder (with all below it), one JSON value a line, or arrays; gzip and zstd by extension; bad lines are left out."""
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": glob, "multiLine": str(array).lower(), "mode": "PERMISSIVE"}
-    lines = spark.read.schema(RAW).options(**options).json(path)
-    return decode(lines.where(F.col("event").isNotNull()))
+def read_json(spark: SparkSession, path: str, glob: str = "*.json*", array: bool = False, bad: str | None = None) -> DataFrame:
+    """The events of read_checked that can be taken. The others are written to the folder bad, if given, with what is wrong; else they are left out."""
+    rows = read_checked(spark, path, glob, array)
+    if bad is not None:
+        rows.where(F.col("error").isNotNull()).select("error", "_line", "event", "id", "ts").write.mode("append").json(bad)
+    return rows.where(F.col("error").isNull()).drop("error", "_line")
+
+
+def read_cache(spark: SparkSession, path: str, scores: bool = False, skip: int = 0) -> DataFrame:
+    """A CSV cache, quoted as RFC 4180: key, vector (array of double) of texts; with scores, left, right, score of pairs of texts. skip leaves out so many first lines of each file."""
+    lines = spark.read.option("header", skip > 0).option("multiLine", True).option("escape", '"').csv(path)
+    names = lines.columns
+    if scores:
+        return lines.select(F.col(names[0]).alias("left"), F.col(names[1]).alias("right"), F.col(names[2]).cast("double").alias("score"))
+    return lines.select(F.col(names[0]).alias("key"), F.array(*(F.col(c).cast("double") for c in names[1:])).alias("vector"))
 
 
 def in_file_order(events: DataFrame, by: str = "name") -> DataFrame:
@@ -98,8 +126,8 @@ def external_sort(events: DataFrame, *by: str) -> DataFrame:
 
 def last_by_id(rows: DataFrame, id_col: str, *order: str) -> DataFrame:
     """One row an id: the last written."""
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(*(F.col(o).desc() for o in order)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    last = rows.groupBy(id_col).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return last.select("_row.*")
 
 
 # Sinks.
@@ -121,9 +149,34 @@ def write_csv(rows: DataFrame, path: str, names: list[str], label: str = "label"
     rows.select(F.col(label).alias("label"), F.col(group).alias("group"), *(F.col(features)[i].alias(n) for i, n in enumerate(names))).write.mode("error").option("header", True).csv(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    fs, folder = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v")) if fs.exists(folder) else []
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that write_state finished."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no state in {path}")
+    return spark.read.parquet(f"{path}/{versions[-1]}")
+
+
 def write_state(values: DataFrame, path: str) -> None:
-    """Feature values, latest of each key: a new version of the table beside the old is written whole, then takes its place at reading by name."""
-    values.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Feature values, latest of each key, as a new version beside those that are there. It counts once its folder is renamed, so a job that fails leaves the old one."""
+    spark = values.sparkSession
+    fs, _ = _folder(spark, path)
+    mark = uuid.uuid4().hex
+    version = f"{max([int(n[1:]) for n in _versions(spark, path)], default=0) + 1:012d}"
+    values.write.mode("error").option("compression", "zstd").parquet(f"{path}/_new-{version}-{mark}")
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not fs.rename(new(f"{path}/_new-{version}-{mark}"), new(f"{path}/v{version}")):
+        raise OSError(f"can't name version {version} of {path}")
 
 
 def write_term_frequencies(stats: DataFrame, df: DataFrame, path: str) -> None:

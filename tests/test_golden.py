@@ -179,3 +179,38 @@ def test_config():
     for bad in ({"features": [{"name": "a", "type": "nothing"}]}, {"models": {"m": {"features": ["x"]}}}, {"features": [{"name": "a", "type": "number", "scope": "planet"}]}):
         with pytest.raises(config.ConfigError):
             config.load(bad)
+
+
+def test_split_time_of_many_rows(spark):
+    """The exact number of train rows, none after the cut, at a size that a range partitioning only samples; with few times, ties and whole copies."""
+    n = 400_000
+    rows = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(50_000))).alias("ts"), "id")
+    found = C.split_time(rows, ["ts"]).groupBy("part").agg(F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    found = {r["part"]: r for r in found.collect()}
+    assert found["train"]["n"] == n * 8 // 10 and found["test"]["n"] == n - n * 8 // 10 and found["train"]["high"] <= found["test"]["low"]
+    same = C.split_time(spark.range(1000).select(F.lit(5).alias("ts")), ["ts"])
+    assert same.where("part = 'train'").count() == 800
+    assert C.split_time(spark.range(5001).select((F.col("id") - 2500).alias("ts")), ["ts"]).where("part = 'train'").agg(F.max("ts")).first()[0] == 1500
+
+
+def test_ordering_errors_across_slots(spark):
+    from rankweave.operators import state
+
+    ts = [5, 6, 4, 4, 9, 8, 8, 10, 3]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "seq long, ts long")
+    for span in (1, 2, 3, 1000):
+        assert sorted((r["seq"], r["previous"]) for r in state.ordering_errors(rows, span=span).collect()) == [(2, 6), (5, 9), (8, 10)]
+
+
+def test_numbered(spark):
+    from rankweave.operators.models import numbered
+
+    found = [r["n"] for r in numbered(spark.range(1000).select(F.col("id").cast("string").alias("x")), "x", "n", slots=16).collect()]
+    assert sorted(found) == list(range(1000))
+
+
+def test_clicks_without_ranking(spark):
+    """Each is a click-through of its own."""
+    clicks = spark.createDataFrame([(None, "a", "click", 1, 1), (None, "b", "click", 2, 2), ("r", "a", "click", 5, 3), ("x", "a", "click", 6, 4)], "ranking string, item string, type string, ts long, seq long")
+    rankings = spark.createDataFrame([("r", 4, ["a"])], "ranking string, ts long, items array<string>")
+    assert sorted(r["id"] for r in C.clickthroughs(rankings, clicks).collect()) == ["a:1:1", "b:2:2", "r", "x:a:6:4"]

@@ -31,6 +31,43 @@ def test_json(spark, tmp_path):
     assert found["interaction"]["ts"] == 1671200049000
 
 
+def test_json_types(spark, tmp_path):
+    """Values have the type that JSON gives them, whatever they look like; rows that can't be taken are set aside with what is wrong."""
+    values = {"code": "00123", "truth": "true", "open": "[x", "brace": "{y", "none": "", "n": 1.5, "big": 12345678901, "exp": 1e3, "b": False, "texts": ["1", "true"], "empty": [], "numbers": [1, 2.5], "same": "null"}
+    bad = {"mixed": [1, "a"], "null": None, "object": {"a": 1}, "nulls": ["a", None]}
+    rows = [event(event="item", item="p", fields=[{"name": n, "value": v} for n, v in values.items()])]
+    rows += [event(event="item", id=n, item="p", fields=[{"name": n, "value": v}]) for n, v in bad.items()] + [event(event="spam"), event(event="item", item="p", timestamp="foo")]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)) + "\nnot json\n")
+    found = E.read_json(spark, str(tmp_path / "a.json"), bad=str(tmp_path / "bad")).collect()
+    assert len(found) == 1
+    got = {k: next(x for x in v if x is not None) for k, v in found[0]["fields"].items()}
+    assert got == {**values, "n": 1.5, "numbers": [1.0, 2.5]} and got["truth"] == "true" and got["b"] is False
+    errors = sorted(r["error"] for r in spark.read.json(str(tmp_path / "bad")).collect())
+    assert errors == ["field of no known type"] * 4 + ["no event", "no timestamp", "unknown kind of event"]
+
+
+def test_caches(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('text,a,b\n"red, ""fox""",1,0.5\nblue,0,2\n')
+    assert sorted(map(tuple, E.read_cache(spark, str(tmp_path / "e.csv"), skip=1).collect())) == [("blue", [0.0, 2.0]), ('red, "fox"', [1.0, 0.5])]
+    (tmp_path / "s.csv").write_text("q,p,0.25\n")
+    assert [tuple(r) for r in E.read_cache(spark, str(tmp_path / "s.csv"), scores=True).collect()] == [("q", "p", 0.25)]
+
+
+def test_state_versions(spark, tmp_path):
+    """A job that fails leaves the state that was there."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "state")
+    with pytest.raises(FileNotFoundError):
+        E.read_state(spark, path)
+    E.write_state(spark.range(3), path)
+    with pytest.raises(Exception, match="no good"):
+        E.write_state(spark.range(5).withColumn("x", F.raise_error(F.lit("no good"))), path)
+    assert E.read_state(spark, path).count() == 3
+    E.write_state(spark.range(4), path)
+    assert E.read_state(spark, path).count() == 4
+
+
 def test_json_array(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([event(event="item", item="a"), event(event="item", item="b")]))
     assert E.read_json(spark, str(tmp_path / "a.json"), array=True).count() == 2
