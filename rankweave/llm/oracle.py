@@ -32,25 +32,35 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FRO
 
 def _op8() -> str:
     """The licence rules as one step of SQL each."""
-    from rankweave.llm.licenses import CUES, RULES, SENTENCES, STARTS, UNKNOWN
+    from rankweave.llm.licenses import CLOSE, CUES, END, INNER, LEAD, RULES, SENTENCES, STARTS, TAIL, UNKNOWN
 
-    known = ", ".join(f"('{s}', '{i}')" for i, texts in SENTENCES.items() for s in texts)
-    starts = " ".join(f"WHEN starts_with(s, '{start}') THEN '{i}'" for i, all_ in STARTS.items() for start in reversed(all_))
+    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, texts in SENTENCES.items() for s in texts) + "}"
+    starts = " ".join(f"WHEN starts_with(x, '{start}') THEN '{i}'" for i, all_ in reversed(STARTS.items()) for start in reversed(all_))
+    plain = lambda x: f"trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    quoted = END.replace("'", "''")
     steps, last = [], "ids"
     for k, (name, run) in enumerate(RULES):
         text = "".join(f"<{i}>" for i in run)
         steps.append(f"r{k} AS (SELECT k, replace(rest, '{text}', '|') AS rest, list_concat(names, list_transform(generate_series(1, CAST((length(rest) - length(replace(rest, '{text}', '|'))) / {len(text) - 1} AS BIGINT)), lambda i: '{name}')) AS names FROM {last})")
         last = f"r{k}"
     return rf"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (SELECT k, string_split_regex(regexp_replace(text, '([^.;:!?\n])\n([a-z(])', '\1 \2', 'g'), '[.;:!?]+([\x20\t\r\n]+|$)|\n+') AS parts FROM d WHERE regexp_matches(text, '(?i){CUES}')),
-s AS (SELECT k, i, trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT k, parts, unnest(generate_series(1, len(parts))) AS i FROM cut)),
-known(s, id) AS (VALUES {known}),
-told AS (SELECT k, i, coalesce(known.id, CASE {starts} WHEN regexp_matches(s, '\blicen[sc]e') THEN '{UNKNOWN}' END) AS id FROM s LEFT JOIN known USING (s) WHERE regexp_matches(s, '{CUES}')),
-ids AS (SELECT k, string_agg('<' || id || '>', '' ORDER BY i) AS rest, CAST([] AS VARCHAR[]) AS names FROM told WHERE id IS NOT NULL GROUP BY k),
+WITH known AS (SELECT unnest(map_keys(m)) AS s, unnest(map_values(m)) AS id FROM (SELECT {known} AS m)),
+d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, coalesce(text, '') AS text FROM documents),
+bare AS (SELECT k, regexp_replace(regexp_replace(chr(10) || text || chr(10), '\r\n?', chr(10), 'g'), '{LEAD}', chr(10), 'g') AS text FROM d WHERE regexp_matches(text, '(?i){CUES}')),
+cut AS (SELECT k, string_split_regex(regexp_replace(regexp_replace(text, '{CLOSE}', chr(10), 'g'), '{INNER}', '\1 ', 'g'), '{quoted}') AS parts FROM bare),
+sent AS (SELECT k, i, s, {plain('s')} AS whole FROM (SELECT k, i, parts[i] AS s FROM (SELECT k, parts, unnest(generate_series(1, len(parts))) AS i FROM cut)) WHERE regexp_matches(s, '(?i){CUES}')),
+wide AS (SELECT k, i, list_filter(list_transform(string_split(sent.s, chr(10)), lambda x: {plain('x')}), lambda x: x <> '') AS lines FROM sent LEFT JOIN known ON known.s = whole WHERE known.id IS NULL AND contains(sent.s, chr(10))),
+tails AS (SELECT k, i, j, array_to_string(lines[j:], ' ') AS s FROM (SELECT k, i, lines, unnest(generate_series(greatest(len(lines) - {TAIL - 1}, 1), len(lines))) AS j FROM wide)),
+firsts AS (SELECT k, i, min(j) AS j, arg_min(id, j) AS id FROM tails JOIN known USING (s) GROUP BY k, i),
+heads AS (SELECT k, i, n, x FROM (SELECT k, i, unnest(lines) AS x, generate_subscripts(lines, 1) AS n FROM wide) LEFT JOIN firsts USING (k, i) WHERE firsts.j IS NULL OR n < firsts.j),
+of_lines AS (SELECT k, i, n, coalesce(known.id, CASE {starts} END) AS id FROM heads LEFT JOIN known ON known.s = x UNION ALL SELECT k, i, j, id FROM firsts),
+told AS (SELECT k, i, n, id FROM of_lines WHERE id IS NOT NULL
+    UNION ALL SELECT k, i, 0, coalesce(known.id, CASE {starts} WHEN regexp_matches(x, '\blicen[sc]e') AND NOT regexp_matches(x, '^https? ') THEN '{UNKNOWN}' END)
+    FROM (SELECT k, i, whole AS x FROM sent WHERE NOT EXISTS (SELECT 1 FROM of_lines o WHERE o.k = sent.k AND o.i = sent.i AND o.id IS NOT NULL)) LEFT JOIN known ON known.s = x),
+ids AS (SELECT k, string_agg('<' || id || '>', '' ORDER BY i, n) AS rest, CAST([] AS VARCHAR[]) AS names FROM told WHERE id IS NOT NULL GROUP BY k),
 {', '.join(steps)}
 SELECT doc_id, CAST(coalesce(len(names), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(names, ','), '') AS licenses,
-    coalesce((SELECT string_agg(id, ',' ORDER BY i) FROM told WHERE told.k = d.k AND id IS NOT NULL), '') AS sentence_ids,
+    coalesce((SELECT string_agg(id, ',' ORDER BY i, n) FROM told WHERE told.k = d.k AND id IS NOT NULL), '') AS sentence_ids,
     CAST(coalesce((SELECT count(*) FROM told WHERE told.k = d.k AND id = '{UNKNOWN}'), 0) AS BIGINT) AS n_unknown
 FROM d LEFT JOIN {last} USING (k)
 """

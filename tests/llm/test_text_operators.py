@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm import decontaminate as D
 from rankweave.llm import pseudonyms as P
-from rankweave.llm.licenses import CUES, RULES, SENTENCES, scan_licenses
+from rankweave.llm.licenses import CUES, RULES, SENTENCES, STARTS, scan_licenses
 from rankweave.llm.repetition import Limits, measure, repetition
 from rankweave.llm.secret_ledger import BASE, RULES as SECRETS, scan_versions, scanner
 
@@ -107,12 +107,33 @@ def test_ledger(spark, edge, empty, tmp_path):
     assert scan_versions(edge, ["doc_id"]).count() == edge.count()
 
 
+def test_whole_licenses(spark):
+    """Public texts give their licence as they are, behind comment leaders, indented, wrapped at 72 and at 50 columns, and amid other text."""
+    import textwrap
+
+    from llm.license_texts import TEXTS as LICENSES
+
+    def lead(text, start, first="", last=""):
+        return first + "\n".join(f"{start}{line}".rstrip() for line in text.split("\n")) + last
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+    rows = []
+    for name, text in LICENSES.items():
+        shapes = [text, lead(text, "# "), lead(text, "// "), lead(text, " * ", "/*\n", "\n */"), lead(text, "    "), lead(text, "> "), wrapped(text, 72), lead(wrapped(text, 72), ";; "), wrapped(text, 50), text.replace("\n", "\r\n"), f"Some prose here.\n\n{text}\n\nMore prose without a stop", f"import x\n\n{lead(text, '-- ')}\ndo()"]
+        rows += [(name, shape) for shape in shapes]
+    table = spark.createDataFrame([row(i, t) for i, (_, t) in enumerate(rows)], SCHEMA)
+    found = {r["doc_id"]: (r["licenses"], r["n_unknown"]) for r in scan_licenses(table).collect()}
+    assert [(name, i % 12, *found[i]) for i, (name, _) in enumerate(rows) if found[i] != ([name], 0)] == []
+
+
 def test_licenses(spark, edge, empty):
     assert all(re.search(CUES, s) for texts in SENTENCES.values() for s in texts)
     for texts in SENTENCES.values():
         assert all(s == re.sub("[^a-z0-9]+", " ", s).strip() for s in texts)
     for name, run in RULES:
-        text = "Intro.\n" + ". ".join(("Copyright 2020 Someone" if i == "copyright" else SENTENCES[i][0].capitalize()) for i in run) + ".\nEnd."
+        text = "Intro.\n" + ". ".join(("Copyright 2020 Someone" if i == "copyright" else SENTENCES[i][0].capitalize() if i in SENTENCES else f"{STARTS[i][0]}X may be used to endorse products") for i in run) + ".\nEnd."
         table = spark.createDataFrame([row(1, text)], SCHEMA)
         if name in ("MIT", "Apache-2.0", "proprietary", "BSD-3-Clause"):
             assert scan_licenses(table).first()["licenses"] == [name]
