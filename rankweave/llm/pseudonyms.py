@@ -4,11 +4,11 @@ A pattern finds candidates of each kind; validation (Luhn, month lengths, octets
 keyed Feistel network on their own format, so that a value has one pseudonym everywhere and different values have different ones:
 
 * cards: a permutation of all digits but the last, which is then set by Luhn; separators stay;
-* phone numbers: of all digits but those of the country code;  social security numbers: of the nine digits;
+* phone numbers: of all digits but those of the country code;  social security numbers: of the valid ones;
 * IBANs: of the digits among the account's characters, with check digits made anew;
 * IPv4 addresses: of the 32 bits;  dates: of the days of 1800 to 2199 (189 * 773 of them), in the order of fields that the date had.
 
-E-mail addresses aren't numbers: their local part and their domain become letters and digits of keyed hashes, under example.invalid.
+E-mail addresses aren't numbers: their local part and their domain become letters and digits of keyed hashes (of 96 and 80 bits, so that equal ones for different values aren't to be expected), under example.invalid.
 
 The network is unbalanced and alternates two halves of sizes a and b: x = (x + f(y)) mod a, y = (y + f(x)) mod b, f keyed SHA-256 of the round,
 kind and other half. Each step can be undone, so it is a permutation of a * b values for any sizes.
@@ -132,9 +132,16 @@ def _phone(v: Column, key: str) -> Column:
 
 
 def _ssn(v: Column, key: str) -> Column:
-    area = F.substring(v, 1, 3)
-    valid = ~area.isin("000", "666") & (area < "900") & (F.substring(v, 5, 2) != "00") & (F.substring(v, 8, 4) != "0000")
-    return F.when(valid, refill(v, permuted_digits(F.regexp_replace(v, "-", ""), key, "ssn"))).otherwise(v)
+    """A permutation of the valid numbers: 898 areas (001 to 899 without 666), 99 groups, 9999 serials."""
+    area, group, serial = F.substring(v, 1, 3).cast("long"), F.substring(v, 5, 2).cast("long"), F.substring(v, 8, 4).cast("long")
+    valid = (area != 0) & (area != 666) & (area < 900) & (group != 0) & (serial != 0)
+    out = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
+
+    def made(o: Column) -> Column:
+        new = o["x"] + F.when(o["x"] >= 665, 2).otherwise(1)
+        return F.concat(F.lpad(new.cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(o["y"] / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((o["y"] % 9999 + 1).cast("string"), 4, "0"))
+
+    return F.when(valid, _let(out, made)).otherwise(v)
 
 
 def _iban(v: Column, key: str) -> Column:
@@ -181,7 +188,7 @@ def _date(v: Column, key: str) -> Column:
 
 def _email(v: Column, key: str) -> Column:
     low = F.lower(v)
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), low), 256), 1, 12), F.lit("@d"), F.substring(F.sha2(F.concat(F.lit(f"{key}|domain|"), F.substring_index(low, "@", -1)), 256), 1, 6), F.lit(".example.invalid"))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), low), 256), 1, 24), F.lit("@d"), F.substring(F.sha2(F.concat(F.lit(f"{key}|domain|"), F.substring_index(low, "@", -1)), 256), 1, 20), F.lit(".example.invalid"))
 
 
 _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
