@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,13 +47,18 @@ FAMILIES = {
     "turkic": "az kk tr uz",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[128:] = np.arange(128, 256)
 _PRIME = np.uint32(2654435761)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of one of Unicode's classes of letters (\\p{L}): the same rule as in fitting."""
+    return text is not None and any(unicodedata.category(m[0])[0] == "L" for m in _WORDLIKE.finditer(text))
+
+
 def held_out(id_col: str) -> Column:
     """The fifth of rows that fitting never sees: crc32 of the id as text, modulo 5, is 0. A null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
@@ -202,7 +208,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         model = shared.value
         judge = lambda x: (*model.predict(x), model.own_margin(x))
         for part in slices(batches, "text"):
-            found = [judge(unit(x)) if t and _LETTER.search(t) else (UNKNOWN, 0.0, 0.0) for t, x in zip(part.column(1).to_pylist(), features(part.column(1)), strict=True)]
+            found = [judge(unit(x)) if has_letter(t) else (UNKNOWN, 0.0, 0.0) for t, x in zip(part.column(1).to_pylist(), features(part.column(1)), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], ["row_id", "lang_pred", "score", "own_margin"])
 
     return docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"row_id {kind}, lang_pred string, score double, own_margin double").withColumnRenamed("row_id", id_col)
