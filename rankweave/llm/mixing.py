@@ -53,10 +53,10 @@ def targets(sizes: DataFrame, share: float, weights: list[float], cap: float) ->
     return levelled.select("source", "source_size", F.least(target, F.col("limit")).alias("target"))
 
 
-def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: int = 60) -> DataFrame:
+def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: int = 200) -> DataFrame:
     """key, multiplier: cells has key, x, n, goal (in units of x), open (False where all documents are taken cap times)."""
     spark = cells.sparkSession
-    state = stored(cells.where("open").groupBy("key").agg(F.max("goal").alias("goal")).select("key", "goal", F.lit(0.0).alias("at"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"), F.lit(False).alias("done")), "newton")
+    state = stored(cells.where("open").groupBy("key").agg(F.max("goal").alias("goal")).select("key", "goal", F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done")), "newton")
     for _ in range(steps):
         rate = F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("at") * F.col("x"))))
         free = rate < cap
@@ -67,14 +67,20 @@ def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: in
         gap = F.col("value") - F.col("goal")
         low, high = F.when(gap < 0, F.col("at")).otherwise(F.col("low")), F.when(gap > 0, F.col("at")).otherwise(F.col("high"))
         newton = F.col("at") - F.when(F.col("slope") > 0, gap / F.when(F.col("slope") > 0, F.col("slope")).otherwise(1.0))
-        following = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        done = F.col("done") | (F.abs(gap) <= tolerance * F.col("goal")) | (high - low < 1e-12)
+        # A side without a bound yet is sought in steps that double; the value goes from 0 to cap times all, so both are found.
+        beyond = F.when(gap < 0, F.greatest(2 * F.abs("at"), F.lit(1.0))).otherwise(-F.greatest(2 * F.abs("at"), F.lit(1.0)))
+        middle = F.when(low.isNull() | high.isNull(), beyond).otherwise((low + high) / 2)
+        within = (low.isNull() | (newton > low)) & (high.isNull() | (newton < high)) & (F.abs(newton) <= F.greatest(4 * F.abs("at"), F.lit(60.0)))
+        following = F.when(within, newton).otherwise(middle)
+        done = F.col("done") | (F.abs(gap) <= tolerance * F.col("goal")) | F.coalesce(high - low < 1e-12 * F.greatest(F.abs(low), F.lit(1.0)), F.lit(False))
         state = stored(
             state.join(sums, "key", "left").select("key", "goal", F.when(F.coalesce(done, F.lit(True)), F.col("at")).otherwise(following).alias("at"), F.coalesce(low, F.col("low")).alias("low"), F.coalesce(high, F.col("high")).alias("high"), F.coalesce(done, F.lit(True)).alias("done")),
             "newton",
         )
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"multipliers aren't settled after {steps} steps")
     return state.select("key", F.col("at").alias("multiplier"))
 
 
