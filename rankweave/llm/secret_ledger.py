@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import bounded_batches, scratch, slices, stored
@@ -70,10 +70,10 @@ def scanner(rules: tuple[Rule, ...]) -> Callable[[str], list[tuple[str, int, int
     return scan
 
 
-def _ledger(spark, path: str, rule_version: str) -> DataFrame:
-    """digest, spans of the ledger's blobs for a rule version; a blob that two runs appended counts once."""
+def _ledger(spark, path: str, rule_version: str, only: Column | None = None) -> DataFrame:
+    """digest, spans of the ledger's blobs for a rule version, only those if given; a blob that two runs appended counts once."""
     try:
-        found = spark.read.schema(f"digest binary, spans {SPANS}, rule_version string").parquet(path).where(F.col("rule_version") == rule_version)
+        found = spark.read.schema(f"digest binary, spans {SPANS}, rule_version string").parquet(path).where((F.col("rule_version") == rule_version) & (F.lit(True) if only is None else only))
     except AnalysisException:  # no run has written it yet
         found = spark.createDataFrame([], f"digest binary, spans {SPANS}")
     return found.select("digest", "spans").dropDuplicates(["digest"])
@@ -101,5 +101,7 @@ def scan_versions(versions: DataFrame, path_cols: list[str], text_col: str = "te
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], ["digest", "spans"])
 
     unseen.mapInArrow(run, f"digest binary, spans {SPANS}").withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-    findings = _ledger(spark, ledger, rule_version).where(F.size("spans") > 0)
-    return paths.join(findings, "digest", "left").select("at.*", "digest", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    # Blobs without findings, such as the empty one that all null texts share, take no part in the join.
+    findings = _ledger(spark, ledger, rule_version, F.size("spans") > 0)
+    joined = paths.join(findings, "digest", "left")
+    return joined.select(*(F.col("at")[c].alias(c) for c in path_cols), "digest", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
