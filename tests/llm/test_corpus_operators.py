@@ -163,6 +163,33 @@ def test_mined_urls_of_any_depth(spark):
     assert [r.tokens for r in mined if r.verdict == "block"] == [tuple(f"path={c}" for c in "pqrst")]
 
 
+def test_mining_many_keys(spark):
+    """Thirty query keys, always together or by chance, are mined in seconds; those together tell as each alone does."""
+    import time
+
+    rng = random.Random(13)
+    keys = [f"k{i}" for i in range(30)]
+    together = [("http://h.x/a?" + "&".join(f"{k}=1" for k in keys), "block") if i % 3 == 0 else ("http://h.x/b", "allow") for i in range(600)]
+    chance = [("http://h.x/a?" + "&".join(f"{k}=1" for k in keys if rng.random() < 0.7), "block" if i % 2 else "allow") for i in range(600)]
+    table = lambda rows: spark.createDataFrame(rows, "url string, verdict string").select(U.tokens(F.col("url")).alias("tokens"), "verdict")
+    began = time.time()
+    mined = U.mine(table(together))
+    assert {r.tokens for r in mined if r.verdict == "block"} == {(f"key={k}",) for k in keys} | {("path=a",)}
+    chance += [("http://h.x/bad?" + "&".join(f"{k}=1" for k in keys if rng.random() < 0.7), "block") for i in range(100)]
+    with pytest.warns(UserWarning, match="surest"):
+        assert ("path=bad",) in {r.tokens for r in U.mine(table(chance), most_sets=100_000)}
+    assert time.time() - began < 60
+
+
+def test_urls_edges(spark, empty):
+    """Nulls, ties, repeated rows, very long URLs and columns that clash."""
+    long = "https://x.net/" + "a/" * 20_000 + "?q=1"
+    urls = [None, "", "no scheme", "://", "http://NET/es/x", "http://a.net/es", "http://a.net/es/", long, long, "http://xnet/es/"]
+    table = spark.createDataFrame([(i, u, "h", "r", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string, verdict string")
+    found = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in U.filter_urls(table, [U.ListedRule("block", "net", "/es/")], mined=[]).collect()}
+    assert [found[i] for i in range(len(urls))] == [("", None, "allow")] * 4 + [("net", "net/es/", "block"), ("a.net", None, "allow"), ("a.net", "net/es/", "block"), ("x.net", None, "allow"), ("x.net", None, "allow"), ("xnet", None, "allow")]
+
+
 def test_signatures_meet():
     """Sets of similarity 0.8 or more always share a signature, at sizes of all bands and at their edges."""
     rng = np.random.default_rng(9)
