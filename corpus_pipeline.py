@@ -2,18 +2,19 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each works on all that the one before it
 kept. All but the last return the columns of documents. Decisions are by row content (id and text), so rows that repeat both
-share one. run() writes what each stage returns to the shared folder and reads it for the next.
+share one. The last returns them with the mixture's columns. run() writes what each stage returns to the shared folder and reads it for the next.
 
 What goes: documents without text or letters and those in no learned language (language), all but the least id of each
 component of near duplicates (near_duplicates), documents with a benchmark window (decontaminate). Documents without any
-shingle or word pass the later stages unchanged; a mixture takes them with no words.
+shingle or word pass the later stages unchanged; a mixture takes them with no words. Null texts, languages and sources are allowed in every stage; a
+null text is in no language. An empty table gives an empty one, with the same columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm import language_id
@@ -75,7 +76,16 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs)
+    """docs with size, source_size, target, rate, copies and taken of the mix; one whose name docs has is called mix_ and that name."""
+    mixed = stored(mix_sources(docs.select(_content().alias("key"), "text", "source"), "key"), "mixed")
+    own = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "rate", "copies", "taken")]
+    twice = stored(mixed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    rows = _keyed(docs)
+    # Rows that repeat id and text share a key, and have their copies in any order; no other rows are numbered.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))).alias("nth")
+    single = rows.join(twice, "key", "left_anti").join(mixed, "key")
+    again = rows.join(twice, "key", "left_semi").select("key", "row", nth).join(mixed.join(twice, "key", "left_semi").select("*", nth), ["key", "nth"])
+    return single.select("row.*", *own).unionByName(again.select("row.*", *own))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
