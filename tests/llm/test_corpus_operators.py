@@ -294,7 +294,7 @@ def test_pipeline_stages(spark, tmp_path, words):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         kept[name] = sorted(str(r["doc_id"]) for r in docs.collect())
-        if name != "mixture":
+        if name != "mixture":  # which adds its own
             assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
     ids = [str(r[0]) for r in rows]
     assert kept["language"] == sorted(x for x in ids if x not in ("54", "55"))
@@ -302,3 +302,18 @@ def test_pipeline_stages(spark, tmp_path, words):
     assert kept["decontaminate"] == [x for x in kept["near_duplicates"] if x != "52"]
     assert kept["pii"] == kept["decontaminate"] == kept["mixture"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["mixture"])
+
+
+def test_pipeline_stages_edges(spark, tmp_path, edge, empty):
+    """Every stage by itself: nulls, empty and very long texts, repeated rows, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, edge, str(tmp_path))
+        assert set(found.columns) >= set(edge.columns)
+        if name in ("pii", "mixture"):
+            assert found.count() == edge.count()
+        if name == "mixture":
+            assert found.agg(F.sum("taken")).first()[0] <= 2 * found.agg(F.sum("mix_size")).first()[0]
+        assert stage(spark, empty, str(tmp_path)).count() == 0
