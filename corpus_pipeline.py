@@ -28,6 +28,8 @@ from rankweave.llm.queries import KEY
 #: Below this margin of every language against the rest, a text is in no learned language. It drops none of the
 #: 10,000 texts of sf0.1; in a trial, texts of 20 characters or more in five unlearned languages and of random letters had -0.15 at most.
 LEAST_MARGIN = -0.13
+#: Keys of rows (about 100 bytes each) up to which decisions are broadcast; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 100_000
 #: Texts with fewer letters are too short to tell, and stay.
 LEAST_LETTERS = 20
 
@@ -56,12 +58,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = stored(ngram_join(docs.select("doc_id", "text", _content().alias("key")).select(F.struct("doc_id", "key").alias("id"), "text"), "id"), "near")
-    twice = joined.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id.key").alias("key"))
-    kept = _without(docs, joined.where(F.col("id") != F.col("component_id")).select(F.col("id.key").alias("key")))
-    rows = _keyed(kept)
     # Rows that repeat id and text are the same row of the join: of those, and only those, one of each is taken.
-    single = rows.join(twice, "key", "left_anti").select("row.*")
-    again = rows.join(twice, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    gone = joined.where(F.col("id") != F.col("component_id")).select(F.col("id.key").alias("key"), F.lit(True).alias("gone"))
+    twice = joined.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id.key").alias("key"), F.lit(False).alias("gone"))
+    told = stored(gone.unionByName(twice).groupBy("key").agg(F.max("gone").alias("gone")), "told")
+    # One join for both, so that texts move once at most.
+    rows = _keyed(docs).join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, "key", "left")
+    single = rows.where(F.col("gone").isNull()).select("row.*")
+    again = rows.where(~F.col("gone")).dropDuplicates(["key"]).select("row.*")
     return single.unionByName(again)
 
 
