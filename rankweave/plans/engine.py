@@ -6,6 +6,8 @@ no state are columns. Events are those of sources.events.decode; a column seq gi
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def add_feature(rows: DataFrame, events: DataFrame, f: Feature) -> DataFrame:
     if f.type == "position":
         return rows.withColumn(name, F.col("pos").cast("double"))
     if f.type == "random":
-        return rows.withColumn(name, F.rand(42))
+        return rows.withColumn(name, S.noise("ranking", "pos"))
     if f.type == "local_time":
         at = S.wall_clock(F.col("request")[f.source.name]["s"]) if f.source and f.source.name != "timestamp" else F.timestamp_millis("ts").cast("timestamp_ntz")
         return rows.withColumn(name, S.TIME_MAPPERS[o["parse"]](at))
@@ -106,7 +108,14 @@ def add_feature(rows: DataFrame, events: DataFrame, f: Feature) -> DataFrame:
         return _counts(rows, events, f, o["interaction"], name)
     if f.type == "rate":
         both = _counts(_counts(rows, events, f, o["top"], "_top"), events, f, o["bottom"], "_bottom")
-        return both.withColumn(name, F.zip_with("_top", "_bottom", lambda t, b: F.try_divide(t, b))).drop("_top", "_bottom")
+        if "normalize" not in o:
+            return both.withColumn(name, F.zip_with("_top", "_bottom", lambda t, b: F.try_divide(t, b))).drop("_top", "_bottom")
+        # Drawn to the rate of all: (weight + top) / (weight * (all bottom div all top) + bottom), with whole-number division.
+        weight, whole = float(o["normalize"]["weight"]), replace(f, scope="global")
+        both = _counts(_counts(both, events, whole, o["top"], "_all_top"), events, whole, o["bottom"], "_all_bottom")
+        parts = [F.try_divide(weight + F.get("_top", F.lit(i)), weight * F.floor(F.try_divide(F.get("_all_bottom", F.lit(i)), F.get("_all_top", F.lit(i)))) + F.get("_bottom", F.lit(i))) for i in range(len(o["periods"]))]
+        some = F.col("_top").isNotNull() & F.col("_bottom").isNotNull()
+        return both.withColumn(name, F.when(some, F.array(*parts))).drop("_top", "_bottom", "_all_top", "_all_bottom")
     if f.type == "diversity":
         seen = _looked_up(rows, events, f, "_v")
         if o.get("values", "number") == "number":

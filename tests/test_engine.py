@@ -44,6 +44,18 @@ def test_training_set(spark, tmp_path):
     assert plain[2] == [None, 0, 0, 0, None, None, 0, 2, None, None]
 
 
+def test_normalised_rate_from_config(spark, tmp_path):
+    """Three impressions and a click of p1, 90 and 9 of p2, weight 10."""
+    kinds = [("p1", "impression", 3), ("p1", "click", 1), ("p2", "impression", 90), ("p2", "click", 9)]
+    rows = [{"event": "interaction", "id": f"{i}{k}{n}", "timestamp": str(1000 + n), "item": i, "type": k, "user": "u"} for i, k, many in kinds for n in range(many)]
+    rows.append({"event": "ranking", "id": "r", "timestamp": "5000", "user": "u", "items": [{"id": "p1"}]})
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    spec = {"name": "ctr", "type": "rate", "scope": "item", "top": "click", "bottom": "impression", "bucket": "24h", "periods": [7, 14], "normalize": {"weight": 10}}
+    plan = config.load({"features": [spec], "models": {"m": {"features": ["ctr"]}}})
+    found = engine.feature_rows(plan, "m", E.read_json(spark, str(tmp_path))).first()["ctr"]
+    assert found == [0.11827956989247312] * 2
+
+
 def test_co_clicks_of_heavy_users(spark):
     """All pairs of all of a user's items, however many, in whatever blocks."""
     from rankweave.operators.models import co_clicked
