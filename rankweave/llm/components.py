@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.common import stored
 
+#: Edges of a file of the stars, about; a round writes as many files as its edges need, whatever the number of shuffle partitions.
+EDGES = 500_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the node's least neighbour (or itself)."""
@@ -28,9 +31,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Raises if the stars aren't stable after so many rounds.
     """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "stars")
+    files = now.count() // EDGES + 1  # a round adds no edges
     state = None
     for _ in range(rounds):
-        now = stored(_small_star(_large_star(now)).distinct(), "stars")
+        now = stored(_small_star(_large_star(now)).distinct().coalesce(files), "stars")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break
