@@ -44,9 +44,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rankweave/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df written to the shared folder and read again: computed once, and safe when executors are lost."""
-    return stored_at(df, name)[0]
+#: Rows of a file, about, of tables with short rows whose number is bounded.
+FILE_ROWS = 100_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows of df written to the shared folder and read again: computed once, and safe when executors are lost.
+
+    rows: df has at most so many, and short ones; it gets as many files as they need, whatever the number of shuffle partitions.
+    For tables whose last stage is light, as that many tasks then run it.
+    """
+    return stored_at(df if rows is None else df.coalesce(rows // FILE_ROWS + 1), name)[0]
 
 
 #: Spark drops a plan's shuffle files when it has run; a plan that is written runs once.

@@ -28,10 +28,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its least node) for the nodes of edges (a, b of a type with order); nodes without edges aren't listed.
 
-    Raises if the stars aren't stable after so many rounds.
+    edges are counted first, so they should be a stored table. Raises if the stars aren't stable after so many rounds.
     """
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), "stars")
-    files = now.count() // EDGES + 1  # a round adds no edges
+    files = edges.count() // EDGES + 1  # a round adds no edges
+    now = stored(edges.select("a", "b").where("a <> b").distinct().coalesce(files), "stars")
     state = None
     for _ in range(rounds):
         now = stored(_small_star(_large_star(now)).distinct().coalesce(files), "stars")

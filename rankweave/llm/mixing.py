@@ -84,21 +84,23 @@ def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: in
     return state.select("key", F.col("at").alias("multiplier"))
 
 
-def corrected(extras: DataFrame, cap: int, rounds: int = 3) -> DataFrame:
+def corrected(extras: DataFrame, cap: int, rows: int | None = None, rounds: int = 3) -> DataFrame:
     """Rounding leaves a source off by up to a document; in each round, one document whose size is nearest to what is left gets or gives up its extra copy."""
     for _ in range(rounds):
         left = extras.groupBy("key").agg((F.max("target") - F.sum(F.col("size") * (F.col("whole") * F.col("held") + F.col("extra")))).alias("left"))
         movable = F.when(F.col("left") > 0, (F.col("extra") < F.col("held")) & (F.col("whole") + 1 <= cap)).otherwise(F.col("extra") > 0)
         off = F.abs(F.abs("left") - F.col("size"))
         best = extras.join(left, "key").where(movable & (off < F.abs("left"))).groupBy("key").agg(F.min(F.struct(off, "size", "cell", F.signum("left").cast("long").alias("move"))).alias("best"))
-        extras = stored(extras.join(best, "key", "left").withColumn("extra", F.col("extra") + F.when((F.col("size") == F.col("best.size")) & (F.col("cell") == F.col("best.cell")), F.col("best.move")).otherwise(0)).drop("best"), "extras")
+        extras = stored(extras.join(best, "key", "left").withColumn("extra", F.col("extra") + F.when((F.col("size") == F.col("best.size")) & (F.col("cell") == F.col("best.cell")), F.col("best.move")).otherwise(0)).drop("best"), "extras", rows)
     return extras
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), cap: int = 2) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target (both its source's), rate, copies, taken."""
     sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")).withColumn("slot", F.xxhash64("id", "source", "size")), "sizes")
-    hist = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    documents = sized.count()
+    hist = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells", documents)
+    sizes = hist.count()
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
     goals = targets(totals, share, list(weights), float(cap)).join(totals.select(F.col("source").alias("_source"), "documents"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     goals = stored(goals.withColumn("key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))), "goals")
@@ -108,21 +110,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = hist.withColumn("key", key).join(goals.drop("source"), "key").where(usable & (F.col("size") > 0)).select(
         "key", "size", (F.col("size") / mean).alias("x"), F.col("n").cast("double").alias("n"), (F.col("target") / mean).alias("goal"), ((F.col("target") < cap * F.col("source_size")) & (F.col("target") > 0)).alias("open")
     )
-    tilt = multipliers(stored(cells, "tilted"), float(cap))
+    tilt = multipliers(stored(cells, "tilted", sizes), float(cap))
     # Cells with their rates; from here on a rate is whole copies and a fraction in millionths.
     exponent = F.col("multiplier") * F.col("size") / F.when(usable, mean).otherwise(1.0)
     full = F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)
     rate = F.when(F.col("multiplier").isNull(), full).otherwise(F.least(F.lit(float(cap)), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), exponent)))))
     rated = hist.withColumn("key", key).join(goals.drop("source"), "key").join(tilt, "key", "left").select("key", "size", "n", "source_size", "target", rate.alias("rate"))
     rated = rated.withColumn("whole", F.floor("rate")).withColumn("part", F.floor((F.col("rate") - F.floor("rate")) * MICRO)).withColumn("slots", F.ceil(F.col("n") / SLOT).cast("int"))
-    rated = stored(rated, "rates")
+    rated = stored(rated, "rates", sizes)
     keyed = sized.withColumn("key", key)
     placed = keyed.join(rated.select("key", "size", "slots").hint("merge"), ["key", "size"]).withColumn("cell", F.pmod(F.col("slot"), F.col("slots")).cast("int"))
     counts = placed.groupBy("key", "size", "cell").agg(F.count("*").alias("held"))
     order = Window.partitionBy("key").orderBy("size", "cell")
     upto = F.sum(F.col("held") * F.col("part")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + MICRO // 2
     extras = counts.join(rated.hint("merge"), ["key", "size"]).withColumn("upto", upto).select("key", "size", "cell", "held", "source_size", "target", "rate", "whole", (F.floor(F.col("upto") / MICRO) - F.floor((F.col("upto") - F.col("held") * F.col("part")) / MICRO)).alias("extra"))
-    extras = corrected(stored(extras, "extras"), cap)
+    extras = corrected(stored(extras, "extras", documents), cap, documents)
     rank = F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("slot", "id"))
     taken = placed.withColumn("rank", rank).join(extras.drop("held").hint("merge"), ["key", "size", "cell"])
     copies = (F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).cast("long")

@@ -302,16 +302,17 @@ def _surviving(members: DataFrame, every: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """a, b of pairs (a, b) whose sets are linked."""
+    """a, b of pairs (a, b), a stored table, whose sets are linked."""
+    n = pairs.count()
     ends = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).groupBy("name").agg(F.count("*").alias("n"))
     counted = pairs.join(ends.select(F.col("name").alias("a"), F.col("n").alias("_a")), "a").join(ends.select(F.col("name").alias("b"), F.col("n").alias("_b")), "b")
     swap = F.col("_b") > F.col("_a")
     hub, leaf = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
     star = F.pmod(F.xxhash64(leaf), F.ceil(F.greatest("_a", "_b") / STAR)).cast("int")
-    stars = stored(counted.select(hub.alias("hub"), leaf.alias("leaf"), star.alias("star")), "stars")
+    stars = stored(counted.select(hub.alias("hub"), leaf.alias("leaf"), star.alias("star")), "stars", n)
     nothing = F.lit(None).cast("binary").alias("leaf")
     routes = stars.select("hub", "star", nothing).distinct().withColumn("name", F.col("hub")).unionByName(stars.select("hub", "star", "leaf", F.col("leaf").alias("name")))
-    routes = stored(routes.join(classes.select("name", "row_key"), "name").select("row_key", "hub", "star", "leaf"), "routes")
+    routes = stored(routes.join(classes.select("name", "row_key"), "name").select("row_key", "hub", "star", "leaf"), "routes", 2 * n)
     if routes.count() <= BROADCAST_ROWS:
         routes = F.broadcast(routes)
     # Texts, not sets, go through the shuffle: they are half as long, and each goes once a route.
@@ -344,7 +345,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = stored(index.where(F.col("bucket").isNull()).select("id", "row_key", "name", "class", "size", "sketch"), "nodes")
     least_row = F.min(F.struct("row_key", "class", "size", "sketch")).alias("x")
     # The groups know the first 8 bytes of a class's name; should two classes clash in them, both are members.
-    classes = stored(nodes.where(F.col("name").isNotNull()).groupBy("name").agg(least_row).select("name", "x.*"), "classes")
+    classes = stored(nodes.where(F.col("name").isNotNull()).groupBy("name").agg(least_row).select("name", "x.*"), "classes", nodes.count())
     groups = stored(_groups(index.where(F.col("bucket").isNotNull()), buckets), "groups")
     drop_path(spark, at)
     members = groups.join(classes.select("class", "name", "size", "sketch"), "class").withColumn("component", F.col("name"))
@@ -358,17 +359,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = _surviving(members, every=step == "all")
         if step == "nearest":
             pairs = stored(pairs, "passed")
-            alive = stored(pairs.select("group", F.col("a").alias("name")).unionByName(pairs.select("group", F.col("b").alias("name"))).distinct(), "alive")
-            classes = stored(classes.join(alive.select("name").distinct(), "name", "left_semi"), "known")
+            most = pairs.count()
+            alive = stored(pairs.select("group", F.col("a").alias("name")).unionByName(pairs.select("group", F.col("b").alias("name"))).distinct(), "alive", 2 * most)
+            alive_rows = alive.count()
+            classes = stored(classes.join(alive.select("name").distinct(), "name", "left_semi"), "known", alive_rows)
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        pairs = stored(pairs.select("a", "b").distinct() if tried is None else pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        else:
+            most = alive_rows if step == "spanning" else None  # a group's spanning pairs are fewer than its members
+        pairs = stored(pairs.select("a", "b").distinct() if tried is None else pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs", most)
         if found is not None and pairs.isEmpty():
             continue
-        more = stored(_verified(pairs, docs, classes, id_col, text_col), "links")
+        more = stored(_verified(pairs, docs, classes, id_col, text_col), "links", pairs.count())
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found is None or not more.isEmpty():
             links = more if links is None else links.unionByName(more)
-            found = stored(components(links), "components")
+            found = stored(components(links), "components", 2 * links.count())
     least = nodes.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("id").alias("least")).join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("name").alias("_name"), "component_id")
     placed = nodes.join(named, F.col("name") == F.col("_name"), "left")
