@@ -57,11 +57,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = stored(ngram_join(docs.select("doc_id", "text", _content().alias("key")).select(F.struct("doc_id", "key").alias("id"), "text"), "id"), "near")
+    joined = stored(ngram_join(docs.select("doc_id", "text", _content().alias("key")).select(F.struct("doc_id", "key").alias("id"), "text"), "id"), "near", docs.count())
     # Rows that repeat id and text are the same row of the join: of those, and only those, one of each is taken.
     gone = joined.where(F.col("id") != F.col("component_id")).select(F.col("id.key").alias("key"), F.lit(True).alias("gone"))
     twice = joined.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id.key").alias("key"), F.lit(False).alias("gone"))
-    told = stored(gone.unionByName(twice).groupBy("key").agg(F.max("gone").alias("gone")), "told")
+    told = stored(gone.unionByName(twice).groupBy("key").agg(F.max("gone").alias("gone")), "told", joined.count())
     # One join for both, so that texts move once at most.
     rows = _keyed(docs).join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, "key", "left")
     single = rows.where(F.col("gone").isNull()).select("row.*")
@@ -72,7 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs.select(_content().alias("key"), "text"), benchmark, "key")
-    return _without(docs, stored(found.where("contaminated").select("key").distinct(), "contaminated"))
+    return _without(docs, stored(found.where("contaminated").select("key").distinct(), "contaminated", docs.count()))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +81,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with size, source_size, target, rate, copies and taken of the mix; one whose name docs has is called mix_ and that name."""
-    mixed = stored(mix_sources(docs.select(_content().alias("key"), "text", "source"), "key"), "mixed")
+    mixed = stored(mix_sources(docs.select(_content().alias("key"), "text", "source"), "key"), "mixed", docs.count())
     own = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "rate", "copies", "taken")]
-    twice = stored(mixed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    twice = stored(mixed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice", mixed.count())
     rows = _keyed(docs)
     # Rows that repeat id and text share a key, and have their copies in any order; no other rows are numbered.
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))).alias("nth")
