@@ -93,15 +93,17 @@ def expired(state: DataFrame, now_ms: Column, ttl_ms: int, ts: str = "ts") -> Da
     return state.where(F.col(ts) >= now_ms - ttl_ms)
 
 
-def ordering_errors(events: DataFrame, by: Keys = (), span: int = 1_000_000) -> DataFrame:
+def ordering_errors(events: DataFrame, by: Keys = (), span: int = 1_000_000, slot: Column | None = None) -> DataFrame:
     """Events earlier than the one before them in the stream of their keys (equal ones are in order), with previous, that one's ts.
 
-    The stream is cut into slots of span numbers of seq; a slot's last event is handed to the next slot that has any, by a small table of slots.
+    The stream is cut into slots of span numbers of seq, or, where seq isn't a number, by slot, whose order goes with seq; a slot's last event
+    is handed to the next slot that has any, by a small table of slots. Events without seq come last; one without ts, and the one after it, are in order.
     """
-    cut = events.withColumn("_slot", F.floor(F.col("seq") / span))
-    own = F.lag("ts").over(Window.partitionBy(*by, "_slot").orderBy("seq"))
-    tops = cut.groupBy(*by, "_slot").agg(F.max_by("ts", "seq").alias("_last"))
-    handed = tops.withColumn("_before", F.lag("_last").over(Window.partitionBy(*by).orderBy("_slot"))).drop("_last")  # a row a slot
+    cut = events.withColumn("_slot", F.floor(F.col("seq") / span) if slot is None else slot)
+    # Structs around ts, so that only a slot's first event has no event before it.
+    own = F.lag(F.struct("ts")).over(Window.partitionBy(*by, "_slot").orderBy(F.col("seq").asc_nulls_last()))
+    tops = cut.groupBy(*by, "_slot").agg(F.max_by(F.struct("ts"), F.struct(F.col("seq").isNull(), "seq")).alias("_last"))
+    handed = tops.withColumn("_before", F.lag("_last").over(Window.partitionBy(*by).orderBy(F.col("_slot").asc_nulls_last()))).drop("_last")  # a row a slot
     same = [cut[c].eqNullSafe(handed[c]) for c in (*by, "_slot")]
-    seen = cut.withColumn("_own", own).join(handed, same[0] if len(same) == 1 else same).select(*(cut[c] for c in events.columns), F.coalesce("_own", "_before").alias("previous"))
+    seen = cut.withColumn("_own", own).join(handed, same[0] if len(same) == 1 else same).select(*(cut[c] for c in events.columns), F.coalesce("_own", "_before")["ts"].alias("previous"))
     return seen.where(F.col("ts") < F.col("previous"))

@@ -135,9 +135,10 @@ def state_ttl(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ordering_guard", f"WITH {EV} SELECT seq, ts FROM (SELECT seq, ts, lag(ts) OVER (ORDER BY (seq * 7919) % 1000003, seq) AS p FROM ev) WHERE ts < p")
 def ordering_guard(spark: SparkSession, d: str) -> DataFrame:
-    # All events, in an order that isn't theirs.
-    rows = interactions(spark, d).select((F.pmod(F.col("seq") * 7919, F.lit(1_000_003)) * 1_000_000 + F.col("seq")).alias("place"), "seq", "ts")
-    return state.ordering_errors(rows.select(F.col("place").alias("seq"), F.col("seq").alias("id"), "ts"), span=10_000_000_000).select(F.col("id").alias("seq"), "ts")
+    # All events, in an order that isn't theirs; ids may be of any size.
+    rest = F.col("seq") * 7919 % 1_000_003
+    rows = interactions(spark, d).select(F.struct(F.col("seq").isNull().alias("last"), rest.alias("rest"), "seq").alias("seq"), "ts")
+    return state.ordering_errors(rows, slot=F.floor(F.col("seq.rest") / 1_000)).select("seq.seq", "ts")
 
 
 @query("number_pit", f"""WITH {EV}, w AS (SELECT item, seq AS s, value AS v FROM ev WHERE type = 'view')

@@ -202,6 +202,31 @@ def test_ordering_errors_across_slots(spark):
         assert sorted((r["seq"], r["previous"]) for r in state.ordering_errors(rows, span=span).collect()) == [(2, 6), (5, 9), (8, 10)]
 
 
+def test_ordering_errors_without_ts_or_seq(spark):
+    from rankweave.operators import state
+
+    rows = spark.createDataFrame([(0, 9), (1, None), (2, 3), (3, 2), (None, 1)], "seq long, ts long")
+    for span in (1, 2, 3, 1000):
+        assert sorted((r["ts"], r["previous"]) for r in state.ordering_errors(rows, span=span).collect()) == [(1, 2), (2, 3)]
+
+
+def test_ordering_guard_of_large_ids(spark, tmp_path):
+    """Ids of a million and more, below 0 and NULL are in the order of the SQL."""
+    import duckdb
+
+    from rankweave.plans import catalogue
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    id, one = F.col("event_id"), pow(7919, -1, 1_000_003)  # ids further by one are further by 1 in the order
+    spread = F.floor(id / 3) * one % 1_000_003 + id * 7 % 10 * 1_000_003 - F.when(id % 5 == 0, 30_000_090).otherwise(0)
+    more = events.withColumn("ts", F.when(id % 9 != 0, F.col("ts"))).withColumn("event_id", F.when(id != 50, spread))
+    more.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = catalogue.queries()["ordering_guard"](spark, str(tmp_path)).select("seq", "ts").collect()
+    assert len(found) > 20 and sorted(map(tuple, found), key=str) == sorted(db.sql(catalogue.oracle_sql()["ordering_guard"]).fetchall(), key=str)
+
+
 def test_numbered(spark):
     from rankweave.operators.models import numbered
 
