@@ -236,8 +236,10 @@ def _best_with(first: str, tokens: list[str], has: np.ndarray, counts: np.ndarra
     rows of other verdicts: one such row is taken at a time, and either it stays, and with it only its tokens, or the set has one of the tokens that it lacks.
     """
     most = len(tokens) + 1 if rest.most_tokens is None else rest.most_tokens
+    has = has.astype(np.float64)  # products of floats are the fast ones, and exact for counts
     for v, verdict in enumerate(verdicts):
-        good, bad = counts[:, v], counts.sum(axis=1) - counts[:, v]
+        good = counts[:, v].astype(np.float64)
+        bad = counts.sum(axis=1) - good
         todo = [(np.arange(len(has)), (), np.arange(len(tokens)))]
         while todo:
             rows, chosen, more = todo.pop()
@@ -250,12 +252,23 @@ def _best_with(first: str, tokens: list[str], has: np.ndarray, counts: np.ndarra
             if confidence >= rest.least_confidence:
                 rank = (-confidence, -(n_good / rest.n), size, verdict != "block", tuple(sorted([first, *(tokens[t] for t in chosen)])), verdict)
                 best = rank if best is None else min(best, rank)
-            lacks = ~has[np.ix_(against, more)]
+            # A better set's tokens each leave enough rows of the verdict; after a rule without exceptions, as many as that has.
+            with_good = good[rows] @ has[rows][:, more]
+            enough = with_good >= max(rest.least, 1 if best is None or best[0] > -1.0 else round(-best[1] * rest.n))
+            more, with_good = more[enough], np.sort(with_good[enough])
+            lacks = has[against][:, more] == 0
             n_lacks = lacks.sum(axis=1)
             if not n_lacks.any():
                 continue
-            bound = n_good / (n_good + int(bad[against[n_lacks == 0]].sum()))
-            if bound < rest.least_confidence or (best is not None and (-bound, -(n_good / rest.n), size + 1, verdict != "block") > best[:4]):
+            # It has so many of them, at least, that enough rows of other verdicts go: the one that leaves fewest bounds what is left.
+            sure = max(rest.least_confidence, -best[0] if best is not None else 0.0, 1e-9)
+            few = (n_bad - with_good[-1] * (1 - sure) / sure) / (bad[against] @ lacks).max()
+            some = max(int(np.ceil(few - 1e-6)), 1)
+            if some > len(more):
+                continue
+            n_left = int(with_good[-some])
+            bound = n_left / (n_left + int(bad[against[n_lacks == 0]].sum()))
+            if bound < rest.least_confidence or (best is not None and (-bound, -(n_left / rest.n), size + some, verdict != "block") > best[:4]):
                 continue
             row = int(np.argmin(np.where(n_lacks > 0, n_lacks, len(more) + 1)))
             todo.append((rows, chosen, more[~lacks[row]]))
@@ -263,7 +276,7 @@ def _best_with(first: str, tokens: list[str], has: np.ndarray, counts: np.ndarra
             stay = has[np.ix_(rows, part)]
             part = part[np.argsort(good[rows] @ stay - bad[rows] @ stay, kind="stable")]  # the last one is looked at first, with all of more
             for i, t in enumerate(part):
-                todo.append((rows[has[rows, t]], (*chosen, t), np.setdiff1d(more, part[i:])))
+                todo.append((rows[has[rows, t] > 0], (*chosen, t), np.setdiff1d(more, part[i:])))
     return best
 
 
