@@ -57,6 +57,20 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return stored_at(df if rows is None else df.coalesce(rows // FILE_ROWS + 1), name)[0]
 
 
+#: Rows, and bytes of them, up to which a table stays in the plan.
+FEW_ROWS, FEW_BYTES = 10_000, 1_000_000
+
+
+def held(df: DataFrame, name: str, rows: int, size: int) -> DataFrame:
+    """The rows of df, computed once: the driver holds them in the plan, or they are stored if rows or size (bytes), their bounds, are above FEW_ROWS or FEW_BYTES.
+
+    For the small tables of loops: a stored one costs the driver a job, a commit and, on local files, a process for each folder and file that it makes.
+    """
+    if rows > FEW_ROWS or size > FEW_BYTES:
+        return stored(df, name, rows)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 #: Spark drops a plan's shuffle files when it has run; a plan that is written runs once.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -67,7 +81,8 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path, before = scratch(spark, name), spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        # Nothing looks for the marker of a scratch table, which the driver would write.
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path), path

@@ -91,17 +91,39 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / max(counts.sum(), 1)).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss on some rows of x, by dual coordinate descent; x isn't copied. y is 1 or -1."""
+class Vectors:
+    """Vectors of DIMENSIONS by their slots that aren't 0: the driver's memory holds no matrix. x[i] is a whole vector, good until the next is asked for."""
+
+    def __init__(self, slots: list[np.ndarray], values: list[np.ndarray]):
+        self.slots, self.values = slots, values
+        self._row, self._filled = np.zeros(DIMENSIONS, np.float32), np.zeros(0, np.uint16)
+
+    def __len__(self) -> int:
+        return len(self.slots)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        self._row[self._filled] = 0
+        self._filled = self.slots[i]
+        self._row[self._filled] = self.values[i]
+        return self._row
+
+    def norms(self) -> np.ndarray:
+        """Squared lengths."""
+        return np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", (v := self[i])[None], v[None]) for i in range(len(self)))])
+
+
+def svm(x: Vectors, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss on some rows of x, by dual coordinate descent. y is 1 or -1."""
     rows = np.arange(len(x)) if rows is None else rows
-    norms = np.einsum("ij,ij->i", x, x) + 1 + 0.5 / cost
-    alpha, w, bias, rng = np.zeros(len(x)), np.zeros(x.shape[1], np.float32), 0.0, np.random.default_rng(seed)
+    norms = x.norms() + 1 + 0.5 / cost
+    alpha, w, bias, rng = np.zeros(len(x)), np.zeros(DIMENSIONS, np.float32), 0.0, np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(rows):
-            step = max(alpha[i] - (y[i] * (float(x[i] @ w) + bias) - 1 + 0.5 / cost * alpha[i]) / norms[i], 0.0) - alpha[i]
+            v = x[i]
+            step = max(alpha[i] - (y[i] * (float(v @ w) + bias) - 1 + 0.5 / cost * alpha[i]) / norms[i], 0.0) - alpha[i]
             if abs(step) > 1e-9:
                 alpha[i] += step
-                w += np.float32(step * y[i]) * x[i]
+                w += np.float32(step * y[i]) * v
                 bias += step * y[i]
     return np.append(w, np.float32(bias))
 
@@ -144,8 +166,8 @@ def _confidence(margin: float) -> float:
     return 1 / (1 + math.exp(-max(min(2 * margin, 50.0), -50.0)))
 
 
-def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
-    """A model of the first rows of x, one a language in langs; rows after these are in no language. x isn't copied."""
+def fit(x: Vectors, langs: list[str]) -> LanguageModel:
+    """A model of the first rows of x, one a language in langs; rows after these are in no language."""
     labelled = np.arange(len(langs))
     names = sorted(set(langs))
     members: dict[str, list[str]] = {}
@@ -153,7 +175,7 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel:
         members.setdefault(_FAMILY.get(n, "other"), []).append(n)
     families = sorted(members)
     of = np.array([families.index(_FAMILY.get(k, "other")) for k in langs])
-    weights = np.stack([svm(x, np.where(of == i, 1, -1), labelled) for i in range(len(families))]) if len(families) > 1 else np.zeros((len(families), x.shape[1] + 1), np.float32)
+    weights = np.stack([svm(x, np.where(of == i, 1, -1), labelled) for i in range(len(families))]) if len(families) > 1 else np.zeros((len(families), DIMENSIONS + 1), np.float32)
     own = np.array(langs)
     pairs = {}
     for group in members.values():
@@ -187,14 +209,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
                     out.append((lang, draw, at.astype(np.uint16).tobytes(), x[at].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "draw", "slots", "counts"])
 
-    found = sorted({(r["lang"], r["draw"]): r for r in sample.select("text", "lang", "draw").mapInArrow(count, "lang string, draw long, slots binary, counts binary").dropDuplicates(["lang", "draw"]).toLocalIterator()}.items())
+    drawn = sample.select("text", "lang", "draw").mapInArrow(count, "lang string, draw long, slots binary, counts binary").dropDuplicates(["lang", "draw"])
+    found = {(r["lang"], r["draw"]): (np.frombuffer(r["slots"], np.uint16), unit(np.frombuffer(r["counts"], np.uint32))) for r in drawn.toLocalIterator()}
+    order = sorted(found)
     # Some empty vectors count as rest, so that a text of other n-grams than the learned ones is far from every language.
-    x = np.zeros((len(found) + max(len(found) // 32, 1), DIMENSIONS), np.float32)
-    for i, (_, r) in enumerate(found):
-        counts = np.zeros(DIMENSIONS)
-        counts[np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["counts"], np.uint32)
-        x[i] = unit(counts)
-    return fit(x, [k for (k, _), _ in found])
+    rest = [np.zeros(0, np.uint16)] * max(len(order) // 32, 1)
+    x = Vectors([*(found[k][0] for k in order), *rest], [*(found[k][1] for k in order), *(r.astype(np.float32) for r in rest)])
+    return fit(x, [lang for lang, _ in order])
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,10 +19,15 @@ source without words has target 0; repeated rows are separate documents; no docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import WORD, stored
+from rankweave.llm.common import WORD, held, stored
+
+#: Computes a table with a row a source, by name, once.
+Keep = Callable[[DataFrame, str], DataFrame]
 
 MICRO = 1_000_000
 #: Documents of a slot, about.
@@ -53,10 +58,9 @@ def targets(sizes: DataFrame, share: float, weights: list[float], cap: float) ->
     return levelled.select("source", "source_size", F.least(target, F.col("limit")).alias("target"))
 
 
-def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: int = 200) -> DataFrame:
+def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: int = 200, keep: Keep = stored) -> DataFrame:
     """key, multiplier: cells has key, x, n, goal (in units of x), open (False where all documents are taken cap times)."""
-    spark = cells.sparkSession
-    state = stored(cells.where("open").groupBy("key").agg(F.max("goal").alias("goal")).select("key", "goal", F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done")), "newton")
+    state = keep(cells.where("open").groupBy("key").agg(F.max("goal").alias("goal")).select("key", "goal", F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done")), "newton")
     for _ in range(steps):
         rate = F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("at") * F.col("x"))))
         free = rate < cap
@@ -73,7 +77,7 @@ def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: in
         within = (low.isNull() | (newton > low)) & (high.isNull() | (newton < high)) & (F.abs(newton) <= F.greatest(4 * F.abs("at"), F.lit(60.0)))
         following = F.when(within, newton).otherwise(middle)
         done = F.col("done") | (F.abs(gap) <= tolerance * F.col("goal")) | F.coalesce(high - low < 1e-12 * F.greatest(F.abs(low), F.lit(1.0)), F.lit(False))
-        state = stored(
+        state = keep(
             state.join(sums, "key", "left").select("key", "goal", F.when(F.coalesce(done, F.lit(True)), F.col("at")).otherwise(following).alias("at"), F.coalesce(low, F.col("low")).alias("low"), F.coalesce(high, F.col("high")).alias("high"), F.coalesce(done, F.lit(True)).alias("done")),
             "newton",
         )
@@ -84,14 +88,15 @@ def multipliers(cells: DataFrame, cap: float, tolerance: float = 1e-6, steps: in
     return state.select("key", F.col("at").alias("multiplier"))
 
 
-def corrected(extras: DataFrame, cap: int, rows: int | None = None, rounds: int = 3) -> DataFrame:
+def corrected(extras: DataFrame, cap: int, rounds: int = 3, keep: Keep = stored) -> DataFrame:
     """Rounding leaves a source off by up to a document; in each round, one document whose size is nearest to what is left gets or gives up its extra copy."""
     for _ in range(rounds):
         left = extras.groupBy("key").agg((F.max("target") - F.sum(F.col("size") * (F.col("whole") * F.col("held") + F.col("extra")))).alias("left"))
         movable = F.when(F.col("left") > 0, (F.col("extra") < F.col("held")) & (F.col("whole") + 1 <= cap)).otherwise(F.col("extra") > 0)
         off = F.abs(F.abs("left") - F.col("size"))
         best = extras.join(left, "key").where(movable & (off < F.abs("left"))).groupBy("key").agg(F.min(F.struct(off, "size", "cell", F.signum("left").cast("long").alias("move"))).alias("best"))
-        extras = stored(extras.join(best, "key", "left").withColumn("extra", F.col("extra") + F.when((F.col("size") == F.col("best.size")) & (F.col("cell") == F.col("best.cell")), F.col("best.move")).otherwise(0)).drop("best"), "extras", rows)
+        # What is kept of a round is its moves, a row a source, not all cells again.
+        extras = extras.join(keep(best, "moves"), "key", "left").withColumn("extra", F.col("extra") + F.when((F.col("size") == F.col("best.size")) & (F.col("cell") == F.col("best.cell")), F.col("best.move")).otherwise(0)).drop("best")
     return extras
 
 
@@ -102,15 +107,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hist = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells", documents)
     sizes = hist.count()
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
+    sources, letters = totals.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    keep = lambda df, name: held(df, name, sources, 100 * sources + 2 * letters)
     goals = targets(totals, share, list(weights), float(cap)).join(totals.select(F.col("source").alias("_source"), "documents"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    goals = stored(goals.withColumn("key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))), "goals")
+    goals = keep(goals.withColumn("key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))), "goals")
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     mean = F.col("source_size") / F.col("documents")
     usable = F.col("source_size") > 0
     cells = hist.withColumn("key", key).join(goals.drop("source"), "key").where(usable & (F.col("size") > 0)).select(
         "key", "size", (F.col("size") / mean).alias("x"), F.col("n").cast("double").alias("n"), (F.col("target") / mean).alias("goal"), ((F.col("target") < cap * F.col("source_size")) & (F.col("target") > 0)).alias("open")
     )
-    tilt = multipliers(stored(cells, "tilted", sizes), float(cap))
+    tilt = multipliers(stored(cells, "tilted", sizes), float(cap), keep=keep)
     # Cells with their rates; from here on a rate is whole copies and a fraction in millionths.
     exponent = F.col("multiplier") * F.col("size") / F.when(usable, mean).otherwise(1.0)
     full = F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)
@@ -124,7 +131,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = Window.partitionBy("key").orderBy("size", "cell")
     upto = F.sum(F.col("held") * F.col("part")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + MICRO // 2
     extras = counts.join(rated.hint("merge"), ["key", "size"]).withColumn("upto", upto).select("key", "size", "cell", "held", "source_size", "target", "rate", "whole", (F.floor(F.col("upto") / MICRO) - F.floor((F.col("upto") - F.col("held") * F.col("part")) / MICRO)).alias("extra"))
-    extras = corrected(stored(extras, "extras", documents), cap, documents)
+    extras = corrected(stored(extras, "extras", documents), cap, keep=keep)
     rank = F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("slot", "id"))
     taken = placed.withColumn("rank", rank).join(extras.drop("held").hint("merge"), ["key", "size", "cell"])
     copies = (F.col("whole") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).cast("long")

@@ -47,6 +47,23 @@ def test_mixing(spark, edge, empty, words):
     assert mix_sources(empty).count() == 0
 
 
+def test_mixing_writes_few_tables(spark, words, tmp_path, monkeypatch):
+    """What has a row a source stays with the driver while it is small: no folder of files for each step of the rates; beyond, it is stored, with the same rows."""
+    from rankweave.llm import common
+
+    rng = random.Random(8)
+    docs = spark.createDataFrame([row(i, " ".join(rng.choices(words, k=rng.choice([1, 5, 50, 300]))), "en", rng.choice(["a", "a", "b", "c", None])) for i in range(300)], SCHEMA)
+    found = []
+    for name, few in (("held", common.FEW_ROWS), ("stored", 2)):
+        monkeypatch.setattr(common, "shared_dir", lambda spark, at=tmp_path / name: f"file://{at}")
+        monkeypatch.setattr(common, "FEW_ROWS", few)
+        found.append(sorted(map(str, mix_sources(docs).select("doc_id", "size", "target", "copies").collect())))
+    made = [sorted(p.name.split("-")[0] for p in (tmp_path / name / "rankweave").iterdir()) for name in ("held", "stored")]
+    assert found[0] == found[1] and len(found[0]) == 300
+    assert made[0] == ["cells", "extras", "rates", "sizes", "tilted"] and {"newton", "moves", "goals"} < set(made[1])
+    assert not list(tmp_path.rglob("_SUCCESS"))
+
+
 TEXTS = {"en": "the of and to in is that was for with", "de": "der die und das ist nicht ein mit von auch", "fr": "le la les des est une pour que dans vous", "es": "el los las una para por con del como muy"}
 
 
@@ -67,6 +84,21 @@ def test_languages(spark, edge, empty):
     assert L.predict(table.limit(3), single).first()["lang_pred"] == "en"
 
 
+def test_training_holds_no_matrix(spark, words):
+    """The driver holds the n-grams that texts have, not a place for each that they could have."""
+    import tracemalloc
+
+    rng = random.Random(14)
+    docs = spark.createDataFrame([row(i, " ".join(rng.choices(TEXTS[lang].split(), k=8)), lang) for i, lang in enumerate(list(TEXTS) * 200)], SCHEMA)
+    tracemalloc.start()
+    try:
+        model = L.train(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(model.members) == {"germanic", "romance"} and most < docs.count() * L.DIMENSIONS * 4 / 3
+
+
 def test_unlearned_languages_go(spark):
     import corpus_pipeline
 
